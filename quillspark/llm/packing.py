@@ -16,6 +16,7 @@ Nulls: a null text is an empty one, which is its end token alone. Rows of equal
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 from itertools import chain, islice
@@ -33,6 +34,20 @@ CAPACITY, END_ID, GROUP = 4096, 1, 20_000
 PIECE = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
+PLAIN = re.compile(rb"([A-Za-z]+)([.,!?;:]*)").fullmatch
+
+
+class Stems(dict):
+    """Letters or punctuation -> ids, as the tokenizer's model alone gives them."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, stem: bytes) -> list[int]:
+        self[stem] = ids = [t.id for t in self.model.tokenize(stem.decode())]
+        return ids
+
+
 class Words(dict):
     """word (bytes without white space) -> its number, by first appearance, and the ids of all words."""
 
@@ -41,6 +56,7 @@ class Words(dict):
         import tokenizers
 
         self.tokenizer, self.most = tokenizers.Tokenizer.from_file(path), most
+        self.stems = Stems(self.tokenizer.model)
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def __missing__(self, word: bytes) -> int:
@@ -48,13 +64,30 @@ class Words(dict):
         return n
 
     def learn(self) -> None:
-        """Encodes the words that are new since the last call."""
-        new = [w.decode() for w in islice(self, len(self.ends) - 1, None)]
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ends = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(1, len(some) + 1))
-            self.ids, self.ends = np.concatenate([self.ids, np.array(got.ids, np.int32)]), np.concatenate([self.ends, ends + self.ends[-1]])
+        """Encodes the words that are new since the last call.
+
+        One of ASCII letters, with punctuation after them or without, is what the tokenizer's model makes
+        of its letters in lower case, and of its punctuation: none of the tokenizer's other steps changes
+        them. All other words go through the whole tokenizer."""
+        new = list(islice(self, len(self.ends) - 1, None))
+        ids: list = [None] * len(new)
+        other = []
+        for i, w in enumerate(new):
+            if found := PLAIN(w):
+                stem, mark = found.groups()
+                ids[i] = self.stems[stem.lower()] + self.stems[mark] if mark else self.stems[stem.lower()]
+            else:
+                other.append(i)
+        for i in range(0, len(other), 20_000):
+            some = other[i : i + 20_000]
+            got = self.tokenizer.encode([new[k].decode() for k in some], is_pretokenized=True, add_special_tokens=False)
+            ends = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some) + 1)).tolist()
+            flat = got.ids
+            for k, a, b in zip(some, ends, ends[1:]):
+                ids[k] = flat[a:b]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
 
     def trim(self) -> None:
         """Forgets all but the first words, so that memory is bounded."""
@@ -64,6 +97,8 @@ class Words(dict):
             self.update(zip(kept, range(len(kept))))
             self.ends = self.ends[: len(kept) + 1]
             self.ids = self.ids[: self.ends[-1]]
+        if len(self.stems) > self.most:
+            self.stems.clear()
 
 
 @lru_cache(maxsize=2)
