@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -30,6 +32,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet beside the checkpoints and read again: smaller on disk than a checkpoint, and
+    later steps read only the columns that they use. The folder goes when the program ends."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        cut(spark.range(0))
+        root = spark.sparkContext.getCheckpointDir()
+    path = f"{root}/quillspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_forget, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def few(keys: DataFrame, most: int = 1_000_000) -> DataFrame | None:
+    """keys to be broadcast, if they are at most so many rows (counted); None beyond that."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else None
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """base, with underscores added until no column of df has that name in either case."""
     taken = {c.lower() for c in df.columns}
