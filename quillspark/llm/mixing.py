@@ -57,11 +57,12 @@ def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFram
 
 
 def copies(
-    df: DataFrame, size: str, doc_id: str = "doc_id", source: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 42, carry: Sequence[str] | None = None
+    df: DataFrame, size: str, doc_id: str = "doc_id", source: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 42, carry: Sequence[str] | None = None, once: bool = True
 ) -> DataFrame:
     """carried columns of df with source_size, target and copies; ``size`` names a long column of df.
 
-    A carried column of one of these names gives way. Rows are written once to the checkpoint folder."""
+    A carried column of one of these names gives way. Rows are written once to the checkpoint folder;
+    with ``once`` false they are read twice instead, which suits rows that carry whole texts."""
     made = ["source_size", "target", "copies"]
     keep = common.carried(df, carry, made)
     key = F.md5(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")))
@@ -69,7 +70,8 @@ def copies(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{source}`").cast("string").alias("source"),
         F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long").alias("size"), key.alias("key"),
     )
-    rows = common.cut(rows.withColumn("class", F.floor(F.sqrt("size"))).withColumn("slot", F.substring("key", 1, 2)))
+    rows = rows.withColumn("class", F.floor(F.sqrt("size"))).withColumn("slot", F.substring("key", 1, 2))
+    rows = common.cut(rows) if once else rows
     cells = common.cut(rows.groupBy("source", "class", "slot").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     classes = cells.groupBy("source", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     aims = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)

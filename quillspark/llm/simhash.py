@@ -204,6 +204,13 @@ def links(distinct: DataFrame, fp: str = "fp", radius: int = RADIUS, leaf: int =
     return inside.union(pairs.mapInArrow(across, LINK))
 
 
+def rooted(distinct: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
+    """(fp, root): for each distinct fingerprint the smallest that links of at most radius bits reach."""
+    roots = common.cut(common.components(links(distinct, "fp", radius, leaf)))
+    found = distinct.join(roots, distinct["fp"] == roots["node"], "left")
+    return common.cut(found.select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def clusters(prints: DataFrame, doc_id: str = "doc_id", fp: str = "fp", radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
     """(fp, component_id): for each distinct fingerprint the smallest doc_id that links of at most radius bits reach."""
     each = common.cut(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least")))
@@ -221,3 +228,25 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     known = clusters(prints, doc_id, "fp", radius, leaf)
     out = prints.join(known, "fp")
     return out.select(F.col(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
+    """The rows of df without all but one row of each component: the one with the smallest doc_id (null last),
+    then the smallest hash of its text. Of rows equal in both, one stays."""
+    ident, hashed = common.free_name(df, "ident"), common.free_name(df, "hashed")
+    value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    keyed = df.withColumn(ident, F.col(f"`{doc_id}`")).withColumn(hashed, F.xxhash64(value))
+    prints = common.cut(fingerprints(keyed, text, words, [ident, hashed], "fp").toDF("ident", "hashed", "fp"))
+    known = rooted(common.cut(prints.select("fp").distinct()), radius, leaf)
+    each = prints.groupBy("ident", "hashed", "fp").count()
+    first = F.struct(F.col("ident").isNull().alias("none"), "ident", "hashed")
+    each = common.cut(each.join(known, "fp").select("ident", "hashed", "count", "root"))
+    best = common.cut(each.groupBy("root").agg(F.min(first).alias("best")))
+    marked = each.join(best, "root").withColumn("stays", F.col("ident").eqNullSafe(F.col("best.ident")) & (F.col("hashed") == F.col("best.hashed")))
+    marked = marked.where(~F.col("stays") | (F.col("count") > 1)).select(F.col("ident").alias("i"), F.col("hashed").alias("h"), "stays")
+    marked = common.cut(marked)
+    few = common.few(marked)
+    joined = keyed.join(marked if few is None else few, F.col(ident).eqNullSafe(F.col("i")) & (F.col(hashed) == F.col("h")), "left")
+    alone = joined.where(F.col("stays").isNull())
+    repeated = joined.where(F.col("stays")).dropDuplicates([ident, hashed])
+    return alone.union(repeated).select(*[F.col(f"`{c}`") for c in df.columns])
