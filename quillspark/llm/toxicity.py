@@ -23,9 +23,8 @@ Labels of a doc_id that disagree count as toxic.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from pyspark.sql import types as T
 from . import common
 from .quality import sample
 
-MOST, LONGEST, LANDMARKS, SENTENCES = 2_000, 20_000, 256, 60_000
+MOST, LONGEST, LANDMARKS, SENTENCES = 1_500, 20_000, 256, 40_000
 QUANTILE = 0.9995  # of the values of words of documents that are not toxic: those above are clearly toxic
 DECAY, SPAN, BITS, CARE = 0.7, 7, 18, 4.0
 OFFSETS = [c for c in combinations(range(SPAN), 4) if c[0] == 0]
@@ -107,23 +106,23 @@ def words_of(text: str) -> list[str]:
     return found
 
 
-def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Kernel values of words and landmarks."""
+def kernel(words: list[str], landmarks: list[str], then: np.ndarray | None = None) -> np.ndarray:
+    """Kernel values of words and landmarks, times the matrix ``then``; a part of the words at a time."""
     mark, bucket, weight = features(landmarks)
     known, at = np.unique(bucket, return_inverse=True)
     table = np.zeros((len(known), len(landmarks)), np.float32)
     np.add.at(table, (at, mark), weight)
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    for start in range(0, len(words), 5_000):
-        word, bucket, weight = features(words[start : start + 5_000])
+    then = np.eye(len(landmarks), dtype=np.float32) if then is None else then.astype(np.float32)
+    out = np.zeros((len(words), then.shape[1]), np.float32)
+    for start in range(0, len(words), 500):
+        word, bucket, weight = features(words[start : start + 500])
         place = np.minimum(np.searchsorted(known, bucket), len(known) - 1)
         hit = np.flatnonzero(known[place] == bucket)
         hit = hit[np.argsort(word[hit], kind="stable")]
-        first = np.flatnonzero(np.diff(word[hit], prepend=-1))
-        for a in range(0, len(first), 500):
-            own = hit[first[a] : first[a + 500] if a + 500 < len(first) else len(hit)]
-            sums = np.add.reduceat(table[place[own]] * weight[own, None].astype(np.float32), first[a : a + 500] - first[a])
-            out[start + word[hit[first[a : a + 500]]]] = sums
+        if len(hit):
+            first = np.flatnonzero(np.diff(word[hit], prepend=-1))
+            sums = np.add.reduceat(table[place[hit]] * weight[hit, None].astype(np.float32), first)
+            out[start + word[hit[first]]] = sums @ then
     return out
 
 
@@ -171,64 +170,71 @@ def summary(value: np.ndarray, sizes: np.ndarray, hot: float) -> np.ndarray:
     return np.stack([np.log1p(count), np.sqrt(100 * count / n), high, np.log1p(over), np.sqrt(100 * over / (n + 20))], axis=1)
 
 
-def landmarks_of(docs: list[tuple[int, list[str]]], most: int) -> list[str]:
+def landmarks_of(words: list[str], docs: list[np.ndarray], label: np.ndarray, most: int) -> list[str]:
     """Three quarters words whose document frequencies differ most between the classes, one quarter frequent ones."""
-    seen = [Counter(), Counter()]
-    for y, words in docs:
-        seen[y].update(set(words))
-    n = [max(1, sum(1 for y, _ in docs if y == k)) for k in (0, 1)]
-    z = {}
-    for w in seen[1]:
-        a, b = seen[1][w] / n[1], seen[0][w] / n[0]
-        p = (seen[1][w] + seen[0][w] + 1) / (n[0] + n[1] + 2)
-        if len(w) > 2 and seen[1][w] > 1:
-            z[w] = (a - b) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
-    toxic = sorted(z, key=lambda w: (-z[w], w))[: 3 * most // 4]
-    frequent = sorted((w for w in seen[0] if len(w) > 2 and w not in set(toxic)), key=lambda w: (-seen[0][w], w))
-    return toxic + frequent[: most - len(toxic)]
+    seen = np.zeros((2, len(words)))
+    for y, codes in zip(label, docs):
+        seen[y, np.unique(codes)] += 1
+    n = np.maximum(1, [(label == 0).sum(), (label == 1).sum()])
+    p = (seen.sum(0) + 1) / (n.sum() + 2)
+    z = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
+    fit = np.array([len(w) > 2 for w in words])
+    toxic = np.flatnonzero(fit & (seen[1] > 1))
+    toxic = toxic[np.argsort(-z[toxic], kind="stable")][: 3 * most // 4]
+    rest = fit & (seen[0] > 0)
+    rest[toxic] = False
+    frequent = np.flatnonzero(rest)
+    frequent = frequent[np.argsort(-seen[0][frequent], kind="stable")][: most - len(toxic)]
+    return [words[i] for i in [*toxic, *frequent]]
 
 
 def train(docs: list[tuple[int, str]], landmarks: int = LANDMARKS, sentences: int = SENTENCES, rounds: int = 2) -> Model:
-    """A model from (label, text)s."""
+    """A model from (label, text)s. Words that occur once in them are left out of the sentences."""
     bare = Model(np.zeros(1 << BITS, np.float32), 1e9, np.zeros(5), np.ones(5), np.array([0.0] * 5 + [-1.0]))
     if {y for y, _ in docs} != {0, 1}:
         return bare  # nothing to learn from
-    parts = [(y, [s for s in map(words_of, re.split(r"[.!?|\n]+\s*", text)) if s]) for y, text in docs]
-    whole = [(y, words_of(text)) for y, text in docs]
-    marks = landmarks_of(whole, landmarks)
+    number: dict[str, int] = {}
+    code = lambda s: np.fromiter((number.setdefault(w, len(number)) for w in words_of(s)), np.int32)
+    label = np.array([y for y, _ in docs])
+    whole = [code(text) for _, text in docs]
+    marks = landmarks_of(list(number), whole, label, landmarks)
     if not marks:
         return bare
-    number: dict[str, int] = {}
-    rows = [(k, y, [number.setdefault(w, len(number)) for w in s]) for k, (y, own) in enumerate(parts) for s in own]
-    rng = np.random.default_rng(0)
-    if len(rows) > sentences:
-        rows = [rows[i] for i in np.sort(rng.choice(len(rows), sentences, replace=False))]
+    parts = [(y, code(s)) for y, text in docs for s in re.split(r"[.!?|\n]+\s*", text) if s.strip()]
+    if len(parts) > sentences:
+        parts = [parts[i] for i in np.sort(np.random.default_rng(0).choice(len(parts), sentences, replace=False))]
+    often = np.flatnonzero(np.bincount(np.concatenate([c for _, c in parts]), minlength=len(number)) > 1)
+    place = np.full(len(number), -1)
+    place[often] = np.arange(len(often))
     base = kernel(marks, marks).astype(float)
     e, v = np.linalg.eigh((base + base.T) / 2)
     half = v[:, e > 1e-6] / np.sqrt(e[e > 1e-6])
-    near = kernel(list(number), marks) @ half.astype(np.float32)
-    x = np.stack([near[codes].sum(0) / np.sqrt(len(codes)) for *_, codes in rows])
-    y = np.array([1.0 if t else -1.0 for _, t, _ in rows])
+    words = list(number)
+    near = kernel([words[i] for i in often], marks, half)
+    x = np.zeros((len(parts), half.shape[1]), np.float32)
+    for row, (_, codes) in zip(x, parts):
+        own = place[codes]
+        row[:] = near[own[own >= 0]].sum(0) / np.sqrt(len(codes) or 1)
+    del near
+    y = np.array([1.0 if t else -1.0 for t, _ in parts])
     keep = np.ones(len(y), bool)
     for _ in range(rounds + 1):
         w = machine(x[keep], y[keep])
-        score = x @ w[:-1] + w[-1]
-        keep = (y < 0) | (score > np.quantile(score[y < 0], 0.98))
+        found = x @ w[:-1] + w[-1]
+        keep = (y < 0) | (found > np.quantile(found[y < 0], 0.98))
         if not (keep & (y > 0)).any():
             break
     beta = half @ w[:-1]
     mark, bucket, weight = features(marks)
     weights = np.bincount(bucket, weight * beta[mark], 1 << BITS).astype(np.float32)
-    every = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(s for _, s in whole)))}
-    value = values(list(every), weights)
-    sizes = np.array([len(s) for _, s in whole])
-    found = value[np.fromiter((every[w] for _, s in whole for w in s), np.int64, int(sizes.sum()))]
-    label = np.array([t for t, _ in whole], float)
+    value = np.concatenate([values(words[i : i + 10_000], weights) for i in range(0, len(words), 10_000)])
+    sizes = np.array([len(c) for c in whole])
+    found = value[np.concatenate(whole)]
     clean = np.repeat(label == 0, sizes)
     hot = float(np.quantile(found[clean], QUANTILE)) if clean.any() else 1e9
     table = summary(found, sizes, hot)
     center, scale = table.mean(0), np.maximum(table.std(0), 1e-6)
-    return Model(weights, hot, center, scale, logistic((table - center) / scale, label))
+    return Model(weights, hot, center, scale, logistic((table - center) / scale, label.astype(float)))
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
