@@ -50,7 +50,7 @@ def tag_span(span: Column, size: Column, rules: RuleSet = NO_RULES) -> Column:
 
 # A span can only change if it holds one of these: number words, by themselves or with a scale, a decade or
 # a zone written on to them, ordinals, decades, punctuation, "point o", spelled terms, " dot ", or a term.
-_NUMBER = one_of([*ALONE, "and"])
+_NUMBER = one_of(list(ALONE))
 _GLUED = one_of(["thousand", "million", "billion", "trillion", *DECADES, "gmt", "est", "pst", "cst", "mst", "g", "e", "p", "c", "m"])
 _TOKENS = one_of(
     [f"{_NUMBER}{_GLUED}?", *ORDINALS, *ORDINAL_SCALES, f"[^ ]*{one_of(list(DECADES))}", *PUNCTUATION, "point oh?", *WHOLE, "w w w", "hundred.*"]
