@@ -35,7 +35,7 @@ def _sum(parts: Column) -> Column:
     start = F.struct(_big(0).alias("done"), _big(0).alias("now"))
 
     def step(state: Column, w: Column) -> Column:
-        now = F.greatest(state["now"], _big(1))
+        now = F.when(state["now"] == 0, _big(1)).otherwise(state["now"])  # null, too large, stays null
         scale = F.struct(
             F.try_add(state["done"], F.try_multiply(now, look_up(SCALES_TEXT, w).cast(DECIMAL)).cast(DECIMAL)).cast(DECIMAL).alias("done"),
             _big(0).alias("now"),
