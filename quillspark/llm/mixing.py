@@ -66,24 +66,23 @@ def copies(
     made = ["source_size", "target", "copies"]
     keep = common.carried(df, carry, made)
     key = F.md5(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")))
-    rows = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{source}`").cast("string").alias("source"),
-        F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long").alias("size"), key.alias("key"),
-    )
+    # no key of a join or a window is null, so that both can share one exchange
+    named = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit(""))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), named.alias("named"), F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long").alias("size"), key.alias("key"))
     rows = rows.withColumn("class", F.floor(F.sqrt("size"))).withColumn("slot", F.substring("key", 1, 2))
     rows = common.cut(rows) if once else rows
-    cells = common.cut(rows.groupBy("source", "class", "slot").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
-    classes = cells.groupBy("source", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
-    aims = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("class").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ahead = classes.select("source", "class", before.alias("ahead"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("source", "class").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("slot").alias("t"), before.alias("within"))
-    cells = cells.join(ahead, F.col("s").eqNullSafe(F.col("source")) & (F.col("c") == F.col("class"))).drop("source", "class")
-    cells = cells.join(aims, F.col("s").eqNullSafe(F.col("source"))).select("s", "c", "t", (F.col("within") + F.col("ahead")).alias("start"), "source_size", "target")
-    cells = common.cut(cells)
-    place = F.row_number().over(W.partitionBy("source", "class", "slot").orderBy("key", "size"))
-    ranked = rows.withColumn("place", place).join(cells, F.col("s").eqNullSafe(F.col("source")) & (F.col("c") == F.col("class")) & (F.col("t") == F.col("slot")))
+    cells = common.cut(rows.groupBy("named", "class", "slot").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    classes = cells.groupBy("named", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    sizes = classes.groupBy("named").agg(F.sum("words").alias("source_size"))
+    aims = targets(sizes.select(F.nullif(F.col("named"), F.lit("")).alias("source"), "source_size"), weights, most)
+    aims = aims.select(F.coalesce("source", F.lit("")).alias("named"), "source_size", "target")
+    before = F.coalesce(F.sum("n").over(W.partitionBy("named").orderBy("class").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ahead = classes.select("named", "class", before.alias("ahead"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("named", "class").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select("named", "class", "slot", before.alias("within")).join(ahead, ["named", "class"]).join(aims, "named")
+    cells = common.cut(cells.select("named", "class", "slot", (F.col("within") + F.col("ahead")).alias("start"), "source_size", "target"))
+    place = F.row_number().over(W.partitionBy("named", "class", "slot").orderBy("key", "size"))
+    ranked = rows.withColumn("place", place).join(cells, ["named", "class", "slot"])
     rank, rate, u = F.col("start") + F.col("place"), F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)), F.lit(offset(seed))
     n = F.floor(u + rate * rank) - F.floor(u + rate * (rank - 1))
     return ranked.select("row.*", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), n.cast("int").alias("copies"))
