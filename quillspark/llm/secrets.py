@@ -178,7 +178,9 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", scope: int
     spans = common.cut(found.groupBy("key").agg(F.first("every").alias("every")))
     key, name = common.free_name(df, "key"), common.free_name(df, "every")
     rows = df.withColumn(key, F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
-    rows = rows.join(spans.select(F.col("key").alias(key), F.col("every").alias(name)), key, "left")
+    spans = spans.select(F.col("key").alias(key), F.col("every").alias(name))
+    small = common.few(spans.select(F.explode(name)), 500_000) is not None  # spans, each of a few dozen bytes
+    rows = rows.join(F.broadcast(spans) if small else spans, key, "left")
     ahead = F.lit(0).cast("long")
     state = F.struct(F.lit("").alias("out"), ahead.alias("at"))
     value = F.col(f"`{text}`")
