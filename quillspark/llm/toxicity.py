@@ -2,9 +2,9 @@
 
 The kernel of two words counts their common subsequences of 4 characters (with marks for a word's begin
 and end) inside stretches of 7, each weighed by ``DECAY`` for every character it skips, and is normalised.
-Characters that are no letters or digits only make gaps, so "i-d.i*o t" keeps the subsequences of the
-word that it spells, and letters put in lose it some. Single letters that stand alone in a row are read
-as one word beside themselves. A sentence's kernel is the sum over its words.
+ASCII signs that are no letters or digits are passed over and make no gap, so "i-d.i*o.t" is the word that
+it spells, and characters put in lose it some subsequences only. Single letters that stand alone in a row
+are read as one word beside themselves. A sentence's kernel is the sum over its words.
 
 Landmarks are words of the training sentences: those that toxic and other documents differ in most, and
 frequent ones. Sentences are mapped by the kernel to the landmarks times K^-1/2 (Nyström), and a linear
@@ -41,6 +41,7 @@ DECAY, SPAN, BITS, CARE = 0.7, 7, 18, 4.0
 OFFSETS = [c for c in combinations(range(SPAN), 4) if c[0] == 0]
 FACTORS = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263)]
 BEGIN, END = "\x02", "\x03"
+MARKS = {i: None for i in range(128) if not chr(i).isalnum()}
 
 
 @dataclass(frozen=True)
@@ -54,21 +55,16 @@ class Model:
 
 def subsequences(words: list[str]):
     """(word, bucket, weight) arrays, for each set of offsets in turn."""
+    words = [w.translate(MARKS) for w in words]
     joined = "".join([BEGIN + w + END for w in words])
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     word = np.repeat(np.arange(len(words)), sizes)
-    gap = np.ones(128, bool)
-    gap[[2, 3, *range(48, 58), *range(65, 91), *range(97, 123)]] = False
-    solid = (code >= 128) | ~gap[np.minimum(code, 127)]
     for at in OFFSETS:
         n = len(code) - at[-1]
         if n <= 0:
             continue
-        fine = word[:n] == word[at[-1] :]
-        for k in at:
-            fine &= solid[k : k + n]
-        i = np.flatnonzero(fine)
+        i = np.flatnonzero(word[:n] == word[at[-1] :])
         key = sum((code[i + k] * f for k, f in zip(at, FACTORS)), np.zeros(len(i), np.uint32))
         key = (key ^ (key >> np.uint32(15))) * np.uint32(2246822519)
         yield word[i], (key >> np.uint32(32 - BITS)).astype(np.int64), DECAY ** (at[-1] - 3)
@@ -114,8 +110,8 @@ def kernel(words: list[str], landmarks: list[str], then: np.ndarray | None = Non
     np.add.at(table, (at, mark), weight)
     then = np.eye(len(landmarks), dtype=np.float32) if then is None else then.astype(np.float32)
     out = np.zeros((len(words), then.shape[1]), np.float32)
-    for start in range(0, len(words), 500):
-        word, bucket, weight = features(words[start : start + 500])
+    for start in range(0, len(words), 200):
+        word, bucket, weight = features(words[start : start + 200])
         place = np.minimum(np.searchsorted(known, bucket), len(known) - 1)
         hit = np.flatnonzero(known[place] == bucket)
         hit = hit[np.argsort(word[hit], kind="stable")]
@@ -129,13 +125,17 @@ def kernel(words: list[str], landmarks: list[str], then: np.ndarray | None = Non
 def machine(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     """Weights (the last is the intercept) of a linear machine with squared hinge loss, by Newton steps;
     y is +1 or -1, and both classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
-    w, ridge = np.zeros(x.shape[1]), penalty * np.eye(x.shape[1])
+    n = x.shape[1] + 1
+    w = np.zeros(n)
     for _ in range(25):
-        active = y * (x @ w) < 1
-        own = x[active] * each[active, None]
-        new = np.linalg.solve(ridge + own.T @ x[active], own.T @ y[active])
+        gram, right = penalty * np.eye(n), np.zeros(n)
+        for a in range(0, len(x), 2_000):  # a part of the rows at a time
+            own = np.hstack([x[a : a + 2_000], np.ones((len(x[a : a + 2_000]), 1))])
+            active = np.where(y[a : a + 2_000] * (own @ w) < 1, each[a : a + 2_000], 0)
+            gram += (own * active[:, None]).T @ own
+            right += own.T @ (active * y[a : a + 2_000])
+        new = np.linalg.solve(gram, right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -250,8 +250,8 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     return train([(r[2], r[1]) for r in sorted(rows.collect())])
 
 
-def score(df: DataFrame, model: Model, text: str = "text", carry=None) -> DataFrame:
-    """carried columns with score and predicted."""
+def score(df: DataFrame, model: Model, text: str = "text", carry=None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """carried columns with score and predicted, under these names."""
     weights, hot, center, scale, coefficients = model.weights, model.hot, model.center, model.scale, model.coefficients
 
     def make():
@@ -262,7 +262,7 @@ def score(df: DataFrame, model: Model, text: str = "text", carry=None) -> DataFr
             nonlocal value
             lists = [words_of(x) for x in texts.to_pylist()]
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            if len(known) > 400_000:  # memory is bounded
+            if len(known) > 150_000:  # memory is bounded
                 known.clear()
                 value = value[:0]
             codes = np.fromiter((known.setdefault(w, len(known)) for x in lists for w in x), np.int64, int(sizes.sum()))
@@ -274,7 +274,7 @@ def score(df: DataFrame, model: Model, text: str = "text", carry=None) -> DataFr
 
         return work
 
-    return common.map_text(df, text, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make, carry)
+    return common.map_text(df, text, [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())], make, carry)
 
 
 def rate(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
