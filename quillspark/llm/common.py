@@ -10,18 +10,23 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one vectorised step handles; a longer document is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a checkpoint's file, so that small tables are few files; large ones keep their partitions.
+FILE_ROWS = 50_000
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder of spark.checkpoint.dir; a temporary one is set only in local mode."""
     sc = df.sparkSession.sparkContext
@@ -29,7 +34,10 @@ def cut(df: DataFrame) -> DataFrame:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.coalesce(held.count() // FILE_ROWS + 1).checkpoint(eager=True)
+    held.unpersist()
+    return out
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -99,13 +107,15 @@ def map_text(
     from runs of rows of the text column: it takes a string array without nulls, gives one array a field."""
     made = [f.name for f in fields]
     keep = carried(df, carry, made)
-    whole = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    own = [F.col(f"`{c}`") for c in keep]
+    at = keep.index(text) if text in keep and isinstance(df.schema[text].dataType, T.StringType) else len(keep)
+    whole = df.select(*own) if at < len(keep) else df.select(*own, F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])
 
     def run(batches):
         work = fn()
         for batch in batches:
-            texts = pc.fill_null(batch.column(len(keep)), "")
+            texts = pc.fill_null(batch.column(at), "")
             sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False) if len(texts) else np.zeros(0, np.int64)
             for a, b in steps(sizes):
                 new = [x if isinstance(x, pa.Array) else pa.array(x) for x in work(texts[a:b])]

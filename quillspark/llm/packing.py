@@ -102,7 +102,7 @@ class Words(dict):
 
 
 @lru_cache(maxsize=2)
-def words_of(path: str, most: int = 400_000) -> Words:
+def words_of(path: str, most: int = 200_000) -> Words:
     return Words(path, most)
 
 
