@@ -127,7 +127,7 @@ def longs(*names: str) -> T.StructType:
 
 
 RUN = longs("id", "h", "r", "lo", "n", "p")
-BLOCKS = T.StructType([*longs("id", "h", "core", "big", "lo").fields, T.StructField("windows", T.ArrayType(T.LongType()))])
+BLOCKS = T.StructType([*longs("id", "h", "core", "big", "lo", "at").fields, T.StructField("windows", T.ArrayType(T.LongType()))])
 OPEN = "struct<lo: bigint, n: bigint, p: bigint, h: bigint>"
 
 
@@ -147,7 +147,7 @@ def anchors(texts: DataFrame) -> DataFrame:
 
 
 def block_rows(text: np.ndarray, lo: np.ndarray, n: np.ndarray, p: np.ndarray):
-    """(run, first window, windows in the run, core, big, window buckets) of the blocks of runs of a text.
+    """(run, first window, windows in the run, core, big, place, window buckets) of the blocks of runs of a text.
 
     Blocks of windows are counted from the anchor, so equal runs have equal blocks. core is the bucket of
     what all windows of a block share, big that of all they hold; 0 if the text has not the whole block."""
@@ -163,7 +163,7 @@ def block_rows(text: np.ndarray, lo: np.ndarray, n: np.ndarray, p: np.ndarray):
     big = np.zeros(len(s), np.uint64)
     big[whole] = mix(full[s[whole]] + np.uint64(31) * full[s[whole] + BLOCK - 1]) | np.uint64(1)
     a, b = np.maximum(s, lo[run]), np.minimum(s + BLOCK, lo[run] + n[run])
-    return run, a, b - a, core, big, full
+    return run, a, b - a, core, big, s, full
 
 
 def blocks(opened: DataFrame) -> DataFrame:
@@ -182,12 +182,12 @@ def blocks(opened: DataFrame) -> DataFrame:
                         continue
                     start = max(0, at - 2 * LENGTH)
                     part = text[start : at + SEGMENT + 3 * LENGTH]
-                    of, a, size, core, big, full = block_rows(part, lo[own] - start, n[own], p[own] - start)
+                    of, a, size, core, big, s, full = block_rows(part, lo[own] - start, n[own], p[own] - start)
                     ends = np.concatenate([[0], np.cumsum(size)])
                     place = np.arange(ends[-1]) + np.repeat(a - ends[:-1], size)
                     big = np.where(big > 0, big, mix((a + start).astype(np.uint64) * np.uint64(2) + np.uint64(ids[i] & 0xFFFFFFFFFFFFFFFF)) & ~np.uint64(1))
                     windows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(full[place].view(np.int64)))
-                    columns = [pa.array(np.full(len(a), ids[i], np.int64)), *(pa.array(x) for x in (h[own][of], core.view(np.int64), big.view(np.int64), a + start)), windows]
+                    columns = [pa.array(np.full(len(a), ids[i], np.int64)), *(pa.array(x) for x in (h[own][of], core.view(np.int64), big.view(np.int64), a + start, s + start)), windows]
                     yield pa.RecordBatch.from_arrays(columns, names=BLOCKS.names)
 
     return opened.mapInArrow(run, BLOCKS)
@@ -223,7 +223,8 @@ def removed(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     few = common.few(opened.select("id"))
     own = texts if few is None else texts.join(few, "id", "left_semi")
     opened = own.dropDuplicates(["id"]).join(opened, "id").select("id", "text", "runs")
-    block = common.written(blocks(opened).select("*", place))
+    # the place of a block is where it begins, even if its run, cut at a segment, begins later
+    block = common.written(blocks(opened).withColumn("g", F.xxhash64("id", "at")).drop("at"))
     level = split(block, ["h", "core"], "big").select("id", "h", "lo", "windows", "same", "open")
     level = common.written(level)
     spans = spans.union(level.where("same").select("id", "lo", F.size("windows").cast("long")))
