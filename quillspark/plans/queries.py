@@ -43,9 +43,9 @@ def itn_cardinal(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cardinal(cardinal_words(F.col("l_orderkey"))).alias("written"))
 
 
-@query("SELECT o_orderkey, '-' || CAST(o_orderkey AS VARCHAR) AS written FROM orders WHERE o_orderkey > 0")
+@query("SELECT o_orderkey, '-' || CAST(o_orderkey AS VARCHAR) AS written FROM orders")
 def itn_cardinal_negative(spark, sf_dir):
-    rows = _table(spark, sf_dir, "orders").where("o_orderkey > 0")
+    rows = _table(spark, sf_dir, "orders")
     return rows.select("o_orderkey", cardinal(F.concat(F.lit("minus "), cardinal_words(F.col("o_orderkey")))).alias("written"))
 
 
@@ -68,10 +68,10 @@ def itn_decimal(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", decimal(said).alias("written"))
 
 
-@query("SELECT p_partkey, CAST(p_partkey AS VARCHAR) || '.5 million' AS written FROM part WHERE p_partkey > 0")
+@query("SELECT p_partkey, CAST(p_partkey AS VARCHAR) || '.5 million' AS written FROM part")
 def itn_decimal_scale(spark, sf_dir):
     said = F.concat(cardinal_words(F.col("p_partkey")), F.lit(" point five million"))
-    return _table(spark, sf_dir, "part").where("p_partkey > 0").select("p_partkey", decimal(said).alias("written"))
+    return _table(spark, sf_dir, "part").select("p_partkey", decimal(said).alias("written"))
 
 
 _CENTS = "CAST(round(p_retailprice * 100) AS BIGINT)"
@@ -84,22 +84,22 @@ def itn_money(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", money(said).alias("written"))
 
 
-@query("SELECT p_partkey, '$' || CAST(p_size AS VARCHAR) || ' billion' AS large, '₩' || CAST(p_size AS VARCHAR) || ' million' AS won, CAST(p_size AS VARCHAR) || ' trillion yuan' AS yuan FROM part WHERE p_size > 0")
+@query("SELECT p_partkey, '$' || CAST(p_size AS VARCHAR) || ' billion' AS large, '₩' || CAST(p_size AS VARCHAR) || ' million' AS won, CAST(p_size AS VARCHAR) || ' trillion yuan' AS yuan FROM part")
 def itn_money_scale(spark, sf_dir):
     n = cardinal_words(F.col("p_size"))
     say = lambda text: money(F.concat(n, F.lit(text)))
-    return _table(spark, sf_dir, "part").where("p_size > 0").select("p_partkey", say(" billion dollars").alias("large"), say(" million won").alias("won"), say(" trillion yuan").alias("yuan"))
+    return _table(spark, sf_dir, "part").select("p_partkey", say(" billion dollars").alias("large"), say(" million won").alias("won"), say(" trillion yuan").alias("yuan"))
 
 
 _UNITS = [(said, written) for said, written in SPOKEN.items() if not said.startswith(("square", "cubic"))]
 _UNIT_CASE = "CASE p_partkey % {n} {whens} END".format(n=len(_UNITS), whens=" ".join(f"WHEN {i} THEN '{w}'" for i, (_, w) in enumerate(_UNITS)))
 
 
-@query(f"SELECT p_partkey, CAST(p_size AS VARCHAR) || ' ' || {_UNIT_CASE} AS written FROM part WHERE p_size > 0")
+@query(f"SELECT p_partkey, CAST(p_size AS VARCHAR) || ' ' || {_UNIT_CASE} AS written FROM part")
 def itn_measure(spark, sf_dir):
     names = F.array(*[F.lit(said) for said, _ in _UNITS])
     said = F.concat(cardinal_words(F.col("p_size")), F.lit(" "), F.element_at(names, (F.col("p_partkey") % len(_UNITS) + 1).cast("int")))
-    return _table(spark, sf_dir, "part").where("p_size > 0").select("p_partkey", measure(said).alias("written"))
+    return _table(spark, sf_dir, "part").select("p_partkey", measure(said).alias("written"))
 
 
 @query("SELECT o_orderkey, lower(strftime(o_orderdate, '%B')) || ' ' || CAST(day(o_orderdate) AS VARCHAR) || ' ' || CAST(year(o_orderdate) AS VARCHAR) AS written FROM orders")
@@ -197,14 +197,14 @@ def itn_sentence_conversations(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", normalize_sentence("text").alias("written"))
 
 
-@query(f"SELECT p_partkey, 'we sold ' || CAST(p_size AS VARCHAR) || ' kg then paid $' || CAST({_CENTS} // 100 AS VARCHAR) || '.' || lpad(CAST({_CENTS} % 100 AS VARCHAR), 2, '0') || ' at 02:30 p.m. .' AS written FROM part WHERE p_size > 1")
+@query(f"SELECT p_partkey, 'we sold ' || CAST(p_size AS VARCHAR) || ' kg then paid $' || CAST({_CENTS} // 100 AS VARCHAR) || '.' || lpad(CAST({_CENTS} % 100 AS VARCHAR), 2, '0') || ' at 02:30 p.m. .' AS written FROM part")
 def itn_sentence_mixed(spark, sf_dir):
     cents = F.round(F.col("p_retailprice") * 100).cast("long")
     said = F.concat(
         F.lit("we  sold "), cardinal_words(F.col("p_size")), F.lit(" kilograms then paid "), cardinal_words(F.floor(cents / 100)),
         F.lit(" dollars and "), cardinal_words(cents % 100), F.lit(" cents at two thirty p m period "),
     )
-    return _table(spark, sf_dir, "part").where("p_size > 1").select("p_partkey", normalize_sentence(said).alias("written"))
+    return _table(spark, sf_dir, "part").select("p_partkey", normalize_sentence(said).alias("written"))
 
 
 @query("SELECT n_nationkey, 'I have 20 ' || CAST(n_nationkey % 9 + 1 AS VARCHAR) || ' apples' AS one, 'GPT for ' || CAST(n_nationkey % 9 + 21 AS VARCHAR) AS ruled FROM nation")
