@@ -197,3 +197,22 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     out = keyed.join(known, "key", "left")
     component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id")).cast("long")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+#: The same over embeddings, for DuckDB; vec_id is taken as a key there.
+SQL = f"""
+WITH RECURSIVE fine AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, r.component_id::BIGINT AS component_id, e.vec_id = r.component_id AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON e.vec_id = r.a
+LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) n ON e.vec_id = n.a
+"""

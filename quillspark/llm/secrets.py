@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -68,8 +69,18 @@ def mixed(value: str) -> bool:
 def parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int, int, bool]]:
     """(part, start, end, weak) of a text: its base spans and the weak candidates outside them."""
     found = [("access" if rank == 1 else "secret", start, end, False) for start, rank, end in base]
-    covered = sorted((start, end) for start, _, end in base)
-    free = lambda a, b: all(b <= x or y <= a for x, y in covered)
+    covered: list[list[int]] = []  # base spans put together, apart from each other
+    for start, _, end in base:
+        if covered and start <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], end)
+        else:
+            covered.append([start, end])
+    begins = [a for a, _ in covered]
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(begins, b)
+        return k == 0 or covered[k - 1][1] <= a
+
     weak = [("secret", m.start(), m.end()) for m in ASSIGN.finditer(text) if 4 <= len(m[2]) < 12]
     weak += [("secret", m.start(), m.end()) for m in ENTROPIC.finditer(text) if mixed(m[0])]
     weak += [("access", m.start(), m.end()) for m in WEAK_ACCESS.finditer(text)] + [("access", m.start(1), m.end(1)) for m in NAMED.finditer(text)]

@@ -245,9 +245,8 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     """A model from the labelled rows that are not held out; it gathers 2 * most * longest characters at most."""
     known = F.broadcast(sample(labels.where(~held_out(F.col(doc_id))), label, most, doc_id, lowest=False))
     rows = df.select(F.col(f"`{doc_id}`").alias("__id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    rows = rows.where(F.length("text") <= longest).join(known, "__id").select("__id", "text", "__label")
-    rows = rows.dropDuplicates(["__id"]).limit(2 * most)  # as many documents at most as ids
-    return train([(r[2], r[1]) for r in sorted(rows.collect())])
+    rows = rows.where(F.length("text") <= longest).join(known, "__id").groupBy("__id", "__label").agg(F.min("text").alias("text"))
+    return train([(r["__label"], r["text"]) for r in sorted(rows.collect())])  # as many documents at most as ids
 
 
 def score(df: DataFrame, model: Model, text: str = "text", carry=None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
