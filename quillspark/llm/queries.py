@@ -63,4 +63,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op4_embedding_near_dedup": embeddings.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op4_embedding_near_dedup": embeddings.SQL, "op6_scan_licenses": licenses.SQL}
