@@ -46,9 +46,27 @@ def year_number(value: Column) -> Column:
     return let(value, lambda v: let(words(v), lambda ws: of(v, ws)))
 
 
-def _quarter(low: Column) -> Column:
-    pattern = f"^({'|'.join(QUARTERS)}) quarter of (.*)$"
-    return only(low.rlike(pattern), put(look_up(QUARTERS, F.regexp_extract(low, pattern, 1)), " ", _text(year_number(F.regexp_extract(low, pattern, 2)))))
+def _with_year(original: Column, low: Column) -> Column:
+    """A quarter of a year, a day of a month, or a year alone: what comes before the year, and the year.
+
+    Their beginnings exclude each other, so the year is read in one place."""
+    quarter = f"^({'|'.join(QUARTERS)}) quarter of (.*)$"
+    part = lambda ahead, year: F.struct(ahead.alias("ahead"), year.alias("year"))
+    rest = F.substr(low, F.lit(5))
+
+    def of_month(ws: Column) -> Column:
+        as_written = F.try_element_at(F.filter(words(original), lambda w: F.lower(w) == ws[0]), F.lit(1))
+        ahead = put(_day(before(rest, " of ")), " ", first(as_written, ws[0]), F.when(F.size(ws) == 1, "").otherwise(" "))
+        return only(among(F.try_element_at(ws, F.lit(1)), *MONTHS), part(ahead, F.when(F.size(ws) > 1, tail(ws, 1))))
+
+    teen, tens, late, starts = (one_of(list(x)) for x in (TEENS, TENS, LATE_TEENS, YEAR_STARTS))
+    alone = rf"(?U)^(?:(?:two|one) thousand|(?:twenty\s+{teen}|{late}\s+(?:{teen}|{tens}))$|{starts}\s+\S+\s+\S)"
+    found = (
+        F.when(low.rlike(quarter), part(put(look_up(QUARTERS, F.regexp_extract(low, quarter, 1)), " "), F.regexp_extract(low, quarter, 2)))
+        .when(low.startswith("the ") & rest.contains(" of "), let(words(after(rest, " of ")), of_month))
+        .when(low.rlike(alone), part(F.lit(""), low))
+    )
+    return let(found, lambda f: put(f["ahead"], F.when(f["ahead"].isNotNull() & f["year"].isNull(), "").otherwise(_text(year_number(f["year"])))))
 
 
 def _era(low: Column) -> Column:
@@ -73,18 +91,6 @@ def _day(value: Column) -> Column:
     return F.regexp_replace(ordinal(value), "[^0-9]", "")
 
 
-def _of_month(original: Column, low: Column) -> Column:
-    rest = F.substr(low, F.lit(5))
-
-    def of(ws: Column) -> Column:
-        as_written = F.try_element_at(F.filter(words(original), lambda w: F.lower(w) == ws[0]), F.lit(1))
-        month = first(as_written, ws[0])
-        year = F.when(F.size(ws) == 1, "").otherwise(put(" ", _text(year_number(tail(ws, 1)))))
-        return only((F.size(ws) > 0) & among(F.try_element_at(ws, F.lit(1)), *MONTHS), put(_day(before(rest, " of ")), " ", month, year))
-
-    return only(low.startswith("the ") & rest.contains(" of "), let(words(after(rest, " of ")), of))
-
-
 def _month_first(original: Column, low: Column) -> Column:
     """A month with a year, a day, or both, in that order of preference."""
 
@@ -107,18 +113,12 @@ def _month_first(original: Column, low: Column) -> Column:
     return let(words(low), lambda ws: only((F.size(ws) >= 2) & among(F.try_element_at(ws, F.lit(1)), *MONTHS), of(ws, words(original)[0])))
 
 
-def _year(low: Column) -> Column:
-    teen, tens, late, starts = (one_of(list(x)) for x in (TEENS, TENS, LATE_TEENS, YEAR_STARTS))
-    pattern = rf"(?U)^(?:(?:two|one) thousand|(?:twenty\s+{teen}|{late}\s+(?:{teen}|{tens}))$|{starts}\s+\S+\s+\S)"
-    return only(low.rlike(pattern), _text(year_number(low)))
-
-
 GUARD = f"quarter of| of |{one_of(MONTHS)}|ies$| (?:b c|bc|a d|ad)$|thousand|{one_of(list(YEAR_STARTS))}"
 
 
 def date(value: Column) -> Column:
     def of(original: Column, low: Column) -> Column:
-        ways = first(_quarter(low), _era(low), _decade(low), _of_month(original, low), _month_first(original, low), _year(low))
+        ways = first(_era(low), _decade(low), _with_year(original, low), _month_first(original, low))
         return only(low.rlike(GUARD), ways)
 
     return let(trimmed(value), lambda o: let(F.lower(o), lambda low: of(o, low)))
