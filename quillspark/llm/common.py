@@ -101,7 +101,7 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def map_text(
-    df: DataFrame, text: str, fields: Sequence[T.StructField], fn: Callable[[], Callable[[pa.Array], list]], carry: Sequence[str] | None = None
+    df: DataFrame, text: str, fields: Sequence[T.StructField], fn: Callable[[], Callable[[pa.Array], list]], carry: Sequence[str] | None = None, step: int = STEP_BYTES
 ) -> DataFrame:
     """carried columns of df plus fields, which the function that fn() makes (once a task) computes
     from runs of rows of the text column: it takes a string array without nulls, gives one array a field."""
@@ -117,7 +117,7 @@ def map_text(
         for batch in batches:
             texts = pc.fill_null(batch.column(at), "")
             sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False) if len(texts) else np.zeros(0, np.int64)
-            for a, b in steps(sizes):
+            for a, b in steps(sizes, step):
                 new = [x if isinstance(x, pa.Array) else pa.array(x) for x in work(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(len(keep))), *new], names=[*keep, *made])
 

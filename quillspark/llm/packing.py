@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-CAPACITY, END_ID, GROUP = 4096, 1, 20_000
+CAPACITY, END_ID, GROUP, STEP = 4096, 1, 20_000, 4 << 20
 PIECE = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
@@ -90,19 +90,16 @@ class Words(dict):
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
 
     def trim(self) -> None:
-        """Forgets all but the first words, so that memory is bounded."""
-        if len(self) > self.most:
-            kept = list(islice(self, self.most // 2))
-            self.clear()
-            self.update(zip(kept, range(len(kept))))
-            self.ends = self.ends[: len(kept) + 1]
-            self.ids = self.ids[: self.ends[-1]]
-        if len(self.stems) > self.most:
-            self.stems.clear()
+        """Forgets all but the first words, among which are the frequent ones, so that memory is bounded."""
+        for table in (self, self.stems):
+            for word in list(islice(table, self.most, None)):
+                del table[word]
+        self.ends = self.ends[: len(self) + 1]
+        self.ids = self.ids[: self.ends[-1]]
 
 
 @lru_cache(maxsize=2)
-def words_of(path: str, most: int = 200_000) -> Words:
+def words_of(path: str, most: int = 300_000) -> Words:
     return Words(path, most)
 
 
@@ -143,7 +140,7 @@ def pieces(df: DataFrame, path: str, text: str = "text", carry=None, capacity: i
     made = ["piece", "start", "length", "ids_crc32"]
     keep = common.carried(df, carry, made)
     name = common.free_name(df, "pieces")
-    cut = common.map_text(df, text, [T.StructField(name, T.ArrayType(PIECE))], make, keep)
+    cut = common.map_text(df, text, [T.StructField(name, T.ArrayType(PIECE))], make, keep, STEP)
     cut = cut.select(*[F.col(f"`{c}`") for c in keep], F.explode(name).alias(name))
     own = [F.col(f"{name}.{c}").alias(c) for c in ("piece", "length", "ids_crc32")]
     start = (F.col(f"{name}.piece").cast("long") * capacity).alias("start")
