@@ -73,7 +73,9 @@ class Words(dict):
         ids: list = [None] * len(new)
         other = []
         for i, w in enumerate(new):
-            if found := PLAIN(w):
+            if w.isalpha():  # ASCII letters, as w is bytes
+                ids[i] = self.stems[w.lower()]
+            elif found := PLAIN(w):
                 stem, mark = found.groups()
                 ids[i] = self.stems[stem.lower()] + self.stems[mark] if mark else self.stems[stem.lower()]
             else:
@@ -99,7 +101,7 @@ class Words(dict):
 
 
 @lru_cache(maxsize=2)
-def words_of(path: str, most: int = 300_000) -> Words:
+def words_of(path: str, most: int = 400_000) -> Words:
     return Words(path, most)
 
 
