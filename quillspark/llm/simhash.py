@@ -230,17 +230,27 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     return out.select(F.col(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def identified(df: DataFrame, doc_id: str, text: str) -> tuple[str, str, DataFrame]:
+    """Names of two columns and df with them: doc_id, and the hash of the text."""
+    ident, hashed = common.free_name(df, "ident"), common.free_name(df, "hashed")
+    value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return ident, hashed, df.withColumn(ident, F.col(f"`{doc_id}`")).withColumn(hashed, F.xxhash64(value))
+
+
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
     """The rows of df without all but one row of each component: the one with the smallest doc_id (null last),
     then the smallest hash of its text. Of rows equal in both, one stays."""
-    ident, hashed = common.free_name(df, "ident"), common.free_name(df, "hashed")
-    value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    keyed = df.withColumn(ident, F.col(f"`{doc_id}`")).withColumn(hashed, F.xxhash64(value))
+    ident, hashed, keyed = identified(df, doc_id, text)
     prints = common.cut(fingerprints(keyed, text, words, [ident, hashed], "fp").toDF("ident", "hashed", "fp"))
     known = rooted(common.cut(prints.select("fp").distinct()), radius, leaf)
     each = prints.groupBy("ident", "hashed", "fp").count()
-    first = F.struct(F.col("ident").isNull().alias("none"), "ident", "hashed")
     each = common.cut(each.join(known, "fp").select("ident", "hashed", "count", "root"))
+    return first_of_each(df, keyed, ident, hashed, each)
+
+
+def first_of_each(df: DataFrame, keyed: DataFrame, ident: str, hashed: str, each: DataFrame) -> DataFrame:
+    """The rows of df, which ``identified`` keyed, that stay of the components in each: ident, hashed, count, root."""
+    first = F.struct(F.col("ident").isNull().alias("none"), "ident", "hashed")
     best = common.cut(each.groupBy("root").agg(F.min(first).alias("best")))
     marked = each.join(best, "root").withColumn("stays", F.col("ident").eqNullSafe(F.col("best.ident")) & (F.col("hashed") == F.col("best.hashed")))
     marked = marked.where(~F.col("stays") | (F.col("count") > 1)).select(F.col("ident").alias("i"), F.col("hashed").alias("h"), "stays")
