@@ -8,8 +8,8 @@ assignment and strings of mixed characters with much entropy (secret), and addre
 code points. A weak secret is reported if an access identifier, weak or not, or an endpoint stands in
 its scope; a weak access identifier if a secret, weak or not, does. Endpoints are no spans themselves.
 
-The join works on parts, not on texts: each part falls in a cell of ``scope`` code points and meets the
-parts of its own and the neighbouring cells, so neither a text with very many parts nor copies of a text
+The join works on parts, not on texts: each part stands in all cells of ``scope`` code points that it touches,
+and a weak one meets the parts of all cells that its scope touches, before its start and after its end, so neither a text with very many parts nor copies of a text
 (which count as one) gather in one task.
 
 Null texts count as empty. Offsets are code points, ends exclusive. Rows of equal text have equal spans.
@@ -152,7 +152,9 @@ def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(key, added): the weak spans of each text that complementary parts support."""
     every = scanned.where(F.size("parts") > 0).select("key", F.explode("parts").alias("p")).select("key", "p.*").distinct()
     cell = F.floor(F.col("start") / scope)
-    mine = every.where("weak and part != 'endpoint'").select("key", "part", "start", "end", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    # all cells that a part in scope, before the start or after the end, can touch
+    reach = F.sequence(F.floor((F.col("start") - scope - 1) / scope), F.floor((F.col("end") + scope) / scope))
+    mine = every.where("weak and part != 'endpoint'").select("key", "part", "start", "end", F.explode(reach).alias("cell"))
     # a part longer than a cell stands in every cell that it touches
     other = every.select("key", F.col("part").alias("other"), F.col("start").alias("a"), F.col("end").alias("b"), F.explode(F.sequence(cell, F.floor((F.col("end") - 1) / scope))).alias("cell"))
     near = (F.col("a") - F.col("end") <= scope) & (F.col("start") - F.col("b") <= scope)
