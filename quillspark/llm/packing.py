@@ -23,7 +23,6 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +34,8 @@ PIECE = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("le
 
 
 PLAIN = re.compile(rb"([A-Za-z]+)([.,!?;:]*)").fullmatch
+#: Words by which a tokenizer is tried: whether it makes of plain words what its model makes of their parts.
+PROBES = [w + m for w in (b"a", b"Z", b"the", b"Hello", b"UPPER", b"mixedCase", b"unbelievableness") for m in (b"", b".", b",", b"!", b"?", b";", b":", b"...", b"?!")]
 
 
 class Stems(dict):
@@ -58,6 +59,8 @@ class Words(dict):
         self.tokenizer, self.most = tokenizers.Tokenizer.from_file(path), most
         self.stems = Stems(self.tokenizer.model)
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        parts = [self.stems[m[1].lower()] + (self.stems[m[2]] if m[2] else []) for m in map(PLAIN, PROBES)]
+        self.short = parts == [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in PROBES]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -67,15 +70,16 @@ class Words(dict):
         """Encodes the words that are new since the last call.
 
         One of ASCII letters, with punctuation after them or without, is what the tokenizer's model makes
-        of its letters in lower case, and of its punctuation: none of the tokenizer's other steps changes
-        them. All other words go through the whole tokenizer."""
+        of its letters in lower case, and of its punctuation, if none of the tokenizer's other steps changes
+        them, as probes tell when it is loaded. All other words, and with other tokenizers all words, go
+        through the whole tokenizer."""
         new = list(islice(self, len(self.ends) - 1, None))
         ids: list = [None] * len(new)
         other = []
         for i, w in enumerate(new):
-            if w.isalpha():  # ASCII letters, as w is bytes
+            if self.short and w.isalpha():  # ASCII letters, as w is bytes
                 ids[i] = self.stems[w.lower()]
-            elif found := PLAIN(w):
+            elif self.short and (found := PLAIN(w)):
                 stem, mark = found.groups()
                 ids[i] = self.stems[stem.lower()] + self.stems[mark] if mark else self.stems[stem.lower()]
             else:
@@ -177,20 +181,24 @@ def place(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.n
 def pack(cut_pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """cut_pieces with sequence_id and offset (columns of these names give way).
 
-    Rows are written once to the checkpoint folder, counted, and dealt evenly to groups by Spark's own
-    round robin, so no value of any column can gather rows. A sequence's id is its group's number and
-    its own there; it is the same when a lost executor's task runs again."""
-    rows = common.cut(cut_pieces.select(*[F.col(f"`{c}`") for c in common.carried(cut_pieces, None, ["sequence_id", "offset"])]))
+    Rows are numbered, written once to the checkpoint folder with their numbers, counted, and dealt to groups
+    by a hash of the number, so no value of any column can gather rows. A sequence's id is its group's number
+    and its own there, and a group is packed in order of size and number: where and how often a task runs
+    changes nothing. No rows give no rows."""
+    keep = common.carried(cut_pieces, None, ["sequence_id", "offset"])
+    number, dealt = common.free_name(cut_pieces, "number"), common.free_name(cut_pieces, "dealt")
+    rows = common.cut(cut_pieces.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias(number)))
     groups = -(-rows.count() // group) or 1
     at = rows.columns.index(length)
 
-    def run(batches):
-        got = [b for b in batches if b.num_rows]
-        if got:
-            own = pa.Table.from_batches(got).combine_chunks()
-            sequence, offset = place(own.column(at).to_numpy(), capacity)
-            sequence += TaskContext.get().partitionId() << 32
-            yield from own.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).to_batches()
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        order = np.argsort(table.column(number).to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        sequence, offset = place(table.column(at).to_numpy(), capacity)
+        sequence += table.column(dealt)[0].as_py() << 32
+        return table.drop_columns([number, dealt]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     fields = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
-    return rows.repartition(groups).mapInArrow(run, T.StructType([*rows.schema.fields, *fields]))
+    own = rows.withColumn(dealt, F.pmod(F.xxhash64(number), F.lit(groups)))
+    return own.groupBy(dealt).applyInArrow(run, T.StructType([*(rows.schema[c] for c in keep), *fields]))
