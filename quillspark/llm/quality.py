@@ -8,11 +8,15 @@ of a text's n-grams (per n-gram of bytes) is its score, whatever its length, and
 threshold is kept: no chance is involved. The threshold is set where labelled good and bad texts are
 told apart best, a lost good text counting ``care`` times a kept bad one.
 
-The raw multinomial counts every n-gram of every text. The trusted one and the threshold come from a
-bounded sample: of the labelled rows of either class, those of ``most`` documents with the smallest
-hashes of their ids. The model is 2^16 + 256 numbers, whatever the corpus.
-
-Null texts count as empty and fail the rules. Labels of a doc_id that disagree count as bad.
+The raw multinomial counts every n-gram of every text, the trusted one those of every text that is
+labelled as good, so both grow with the input. Only the threshold comes from a bounded sample: of either
+class ``most`` documents with the smallest hashes of their ids, and of each id one text, the least. The
+model is 2^16 + 256 numbers, whatever the corpus.
+
+Null texts count as empty and fail the rules. Labels of a doc_id that disagree count as bad; null ids and
+other labels than 0 and 1 count as no label. Without good or without bad labels the threshold is the lowest,
+so the rules alone decide. Rows of equal text have equal results; an empty table gives no rows. A long text
+is a step of its own, read as a whole. A column of df that shares a made column's name gives way.
 """
 
 from __future__ import annotations
@@ -112,23 +116,31 @@ def counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def agreed(labels: DataFrame, column: str, doc_id: str = "doc_id", lowest: bool = True) -> DataFrame:
+    """(__id, __label): one label, 0 or 1, a document."""
+    one = F.min if lowest else F.max
+    return labels.where(F.col(doc_id).isNotNull() & F.col(column).isin(0, 1)).groupBy(F.col(doc_id).alias("__id")).agg(one(F.col(column)).alias("__label"))
+
+
 def sample(labels: DataFrame, column: str, most: int, doc_id: str = "doc_id", lowest: bool = True) -> DataFrame:
     """(doc_id, label) of at most ``most`` documents a class, those with the smallest hashes of their ids."""
-    one = F.min if lowest else F.max
-    rows = labels.where(F.col(doc_id).isNotNull() & F.col(column).isin(0, 1)).groupBy(F.col(doc_id).alias("__id")).agg(one(F.col(column)).alias("__label"))
+    rows = agreed(labels, column, doc_id, lowest)
     by = F.xxhash64("__id", F.lit(column))
     return common.cut(rows.where("__label = 1").orderBy(by).limit(most).union(rows.where("__label = 0").orderBy(by).limit(most)))
 
 
 def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST, care: float = CARE) -> Model:
-    known = F.broadcast(sample(labels, label, most, doc_id))  # 2 * most rows of two numbers
+    good = agreed(labels, label, doc_id).where("__label = 1")
+    few = common.few(good)
     rows = df.select(F.col(f"`{doc_id}`").alias("__id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    marked = rows.join(known, "__id", "left").select("text", F.coalesce(F.col("__label") == 1, F.lit(False)).alias("trusted"))
+    marked = rows.join(good if few is None else few, "__id", "left").select("text", F.col("__label").isNotNull().alias("trusted"))
     raw, trusted = counts(marked).astype(float)
     ratio = np.log((trusted + 1) / (trusted.sum() + len(trusted))) - np.log((raw + 1) / (raw.sum() + len(raw)))
     model = Model(ratio.astype(np.float32), 0.0)
-    scored = verdicts(rows.join(known, "__id").select("text", "__label"), model, "text", ["__label"]).where("not base_failed").select("__label", "score")
-    found = np.array(scored.collect(), float).reshape(-1, 2)  # the sample alone
+    known = F.broadcast(sample(labels, label, most, doc_id))  # 2 * most rows of two numbers
+    some = rows.join(known, "__id").groupBy("__id", "__label").agg(F.min("text").alias("text"))
+    scored = verdicts(some, model, "text", ["__label"]).where("not base_failed").select("__label", "score")
+    found = np.array(scored.collect(), float).reshape(-1, 2)  # a row for each id of the sample at most
     return Model(model.ratio, threshold(found[found[:, 0] == 1, 1], found[found[:, 0] == 0, 1], care))
 
 
