@@ -185,6 +185,16 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans_text().alias("spans"))
 
 
+def blotted(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """text with mark in place of each span, or of spans that overlap; spans are in order of their starts."""
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """df with every span of its texts replaced by mark; null texts stay null."""
     found = find(df.select(F.col(f"`{text}`").alias("text")), "text", [], scope).where(F.size("every") > 0)
@@ -194,13 +204,19 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", scope: int
     spans = spans.select(F.col("key").alias(key), F.col("every").alias(name))
     small = common.few(spans.select(F.explode(name)), 500_000) is not None  # spans, each of a few dozen bytes
     rows = rows.join(F.broadcast(spans) if small else spans, key, "left")
-    ahead = F.lit(0).cast("long")
-    state = F.struct(F.lit("").alias("out"), ahead.alias("at"))
-    value = F.col(f"`{text}`")
-    step = lambda s, x: F.struct(
-        F.when(x["end"] <= s["at"], s["out"]).when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substr(value, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))).alias("out"),
-        F.greatest(s["at"], x["end"]).alias("at"),
-    )
-    done = F.aggregate(F.col(name), state, step, lambda s: F.concat(s["out"], F.substr(value, (s["at"] + 1).cast("int"))))
-    cleaned = F.when(F.col(name).isNull(), value).otherwise(done)
-    return rows.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    at, place = df.columns.index(text), len(df.columns)
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in df.schema.fields])
+
+    def run(batches):
+        for batch in batches:
+            some = np.flatnonzero(batch.column(place).is_valid().to_numpy(zero_copy_only=False)).tolist()
+            texts = batch.column(at)
+            if some:
+                values = texts.to_pylist()
+                for i in some:
+                    values[i] = blotted(values[i], [(s["start"], s["end"]) for s in batch.column(place)[i].as_py()], mark)
+                texts = pa.array(values, pa.string())
+            yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(place)], names=schema.names)
+
+    own = [F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
+    return rows.select(*own, name).mapInArrow(run, schema)
