@@ -3,31 +3,38 @@
 A fingerprint has 64 bits, one for each bit position that is set in over half of the XXH64 hashes
 (seed 42) of a text's word shingles. Fingerprints that differ in at most ``radius`` bits are linked.
 
-The index is built anew for each of a few rotations of the 64 bits. Cut into radius + 1 segments, two
-linked fingerprints agree in one segment at least, so the upper node of a rotation is that segment's
-value: difference 0 under its mask. Below it, fingerprints stand in order of Gray rank, a range sort,
-and every run of ``leaf`` of them is a node with the mask and the pattern of the bits that all of them
-share. Two nodes whose patterns already differ in more than ``radius`` bits under both masks are
-pruned as a whole; only pairs of nodes that remain have their fingerprints compared. A hot upper node
-spreads over as many leaves and partitions as its rows need.
+The index has a table for every choice of blocks of bits. Of ``blocks`` blocks, two linked fingerprints
+agree in all but ``radius`` at least, so a table's upper nodes are the values of that many blocks: difference
+0 under their mask. There are as many blocks as keep upper nodes small for the number of fingerprints, so
+work grows about as they do. Below, fingerprints stand in order of the Gray rank of their other bits, a
+range sort, and every run of ``leaf`` of them is a leaf with the mask and the pattern of the bits that all
+of it shares; every ``FAN`` nodes in order have a node above them, with what these share, up to FAN nodes
+below an upper node. From the top, pairs of nodes whose patterns differ in more than ``radius`` bits under both
+masks are pruned with all below them; only the fingerprints of pairs of leaves that remain are compared. A hot
+upper node spreads over as many leaves and partitions as its rows need.
 
 Nulls: a null text is an empty one; empty texts have fingerprint 0 and are linked like any other. Rows
-with equal doc_id stay rows of their own. A component's id is its smallest doc_id that is not null.
+with equal doc_id stay rows of their own, as do repeated rows. A component's id is its smallest doc_id that
+is not null. An empty table gives no rows. A long text is a step of its own, read as a whole. Columns of df
+other than doc_id and the text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-RADIUS, LEAF = 3, 1024
+RADIUS, LEAF, FAN, CROWD = 3, 1024, 32, 64
 
 
 def fingerprint_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -72,10 +79,22 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = 3, carry=None,
     return common.map_text(df, text, [T.StructField(name, T.LongType())], make, carry)
 
 
-def segments(radius: int) -> list[tuple[int, int]]:
-    """(shift, bits) of the radius + 1 segments of 64 bits."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def block_masks(blocks: int) -> list[int]:
+    """The bits of each of so many blocks of 64 bits."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+
+
+def blocks_for(count: int, radius: int, crowd: int = CROWD) -> int:
+    """How many blocks keep upper nodes to about ``crowd`` of so many fingerprints, of those with at most 64 tables."""
+    blocks = radius + 1
+    while blocks < 64 and comb(blocks + 1, radius) <= 64 and count > crowd << ((64 // blocks) * (blocks - radius)):
+        blocks += 1
+    return blocks
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,92 +125,90 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[root[keep]]
 
 
-NODE = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "key", "leaf")] + [T.StructField("fps", T.BinaryType())])
+NODE = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "shift", "key", "rank")] + [T.StructField("fps", T.BinaryType())])
 
 
-def batch(a, b, key=None, leaf=None, fps=None) -> pa.RecordBatch:
-    """A batch of NODE: edges (no key), or a node with its mask, pattern and fingerprints."""
-    n = len(a)
-    rest = [pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (key, leaf)]
-    last = pa.nulls(n, pa.binary()) if fps is None else pa.array(fps, pa.binary())
+def batch(a, b, node=None, fps=None) -> pa.RecordBatch:
+    """A batch of NODE: edges, or (shift, key, rank) of a leaf with its mask, its first fingerprint and all of them."""
+    rest = [pa.nulls(len(a), pa.int64())] * 3 if node is None else [pa.array([x], pa.int64()) for x in node]
+    last = pa.nulls(len(a), pa.binary()) if fps is None else pa.array(fps, pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *rest, last], names=NODE.names)
 
 
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def links(distinct: DataFrame, fp: str = "fp", radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
+def links(distinct: DataFrame, fp: str = "fp", radius: int = RADIUS, leaf: int = LEAF, blocks: int | None = None, fan: int = FAN) -> DataFrame:
     """(a, b): edges that connect the distinct fingerprints just as all links of at most radius bits do."""
     if radius == 0:
         return distinct.sparkSession.createDataFrame([], LINK)
-    parts = segments(radius)
-    rotated = distinct.select(F.explode(F.array([F.lit(s) for s, _ in parts])).alias("shift"), F.col(fp).alias("fp"))
-    value = F.lit(0)
-    for s, n in parts:
-        value = F.when(F.col("shift") == s, F.shiftrightunsigned("fp", s).bitwiseAND((1 << n) - 1)).otherwise(value)
-    # the bits, rotated so that the segment comes last; their Gray rank is a prefix XOR over them
-    turned = F.when(F.col("shift") == 0, F.col("fp")).otherwise(F.expr("shiftrightunsigned(fp, shift) | shiftleft(fp, 64 - shift)"))
-    rotated = rotated.select((F.col("shift").cast("long") * (1 << 32) + value).alias("key"), "fp", turned.alias("gray"))
+    blocks = blocks or blocks_for(distinct.count(), radius)
+    masks = [signed(sum(some)) for some in combinations(block_masks(blocks), blocks - radius)]
+    # shift numbers the tables; key holds the bits under a table's mask, gray is the rank of the others
+    rows = distinct.select(F.posexplode(F.array([F.lit(m) for m in masks])).alias("shift", "mask"), F.col(fp).alias("fp"))
+    rows = rows.select(F.col("shift").cast("long").alias("shift"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", F.col("fp").bitwiseAND(F.bitwise_not("mask")).alias("gray"))
     for k in (1, 2, 4, 8, 16, 32):
-        rotated = rotated.withColumn("gray", F.col("gray").bitwiseXOR(F.shiftrightunsigned("gray", k)))
-    rotated = rotated.withColumn("gray", F.col("gray").bitwiseXOR(F.lit(-(1 << 63))))  # in order as unsigned
-    ordered = rotated.repartitionByRange("key", "gray").sortWithinPartitions("key", "gray")
+        rows = rows.withColumn("gray", F.col("gray").bitwiseXOR(F.shiftrightunsigned("gray", k)))
+    rows = rows.withColumn("gray", F.col("gray").bitwiseXOR(F.lit(-(1 << 63))))  # in order as unsigned
+    ordered = rows.repartitionByRange("shift", "key", "gray").sortWithinPartitions("shift", "key", "gray")
 
     def build(batches):
         """Compares inside upper nodes and leaves; passes on leaves of nodes that have, or may have, others.
 
         Rows come in order, so an upper node is a run of them. One that stands first or last in its
-        partition may go on in the next, and one of more than ``leaf`` rows has several leaves."""
-        part, made, rest, split = TaskContext.get().partitionId(), 0, None, True
+        partition may go on in the next, and one of more than ``leaf`` rows has several leaves. A leaf is
+        known by its table and its first fingerprint, wherever it is made."""
+        rest, split = None, True
 
-        def leaves(key: int, fps: np.ndarray, outer: bool):
-            nonlocal made
+        def leaves(shift, key, fps, gray, outer: bool):
             for i in range(0, len(fps), leaf):
                 own = fps[i : i + leaf]
                 x, y = near(own, own, radius)
                 yield batch(*forest(own[x[x < y]].view(np.int64), own[y[x < y]].view(np.int64)))
                 if outer:
                     mask = ~np.bitwise_or.reduce(own ^ own[0])
-                    yield batch(np.array([mask]).view(np.int64), own[:1].view(np.int64), [key], [part << 32 | made], [own.astype("<u8").tobytes()])
-                    made += 1
+                    yield batch(np.array([mask]).view(np.int64), own[:1].view(np.int64), (shift[0], key[0], gray[i]), [own.astype("<u8").tobytes()])
 
-        def whole(key: np.ndarray, fps: np.ndarray):
+        def whole(shift, key, fps, gray):
             """Upper nodes of which all rows are here."""
-            starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (shift[1:] != shift[:-1])]))
             sizes = np.diff(starts, append=len(key))
             for k in range(1, min(int(sizes.max()), 64)):  # all pairs of the many small nodes at once
-                at = np.flatnonzero((key[k:] == key[:-k]) & (np.bitwise_count(fps[k:] ^ fps[:-k]) <= radius))
+                at = np.flatnonzero((key[k:] == key[:-k]) & (shift[k:] == shift[:-k]) & (np.bitwise_count(fps[k:] ^ fps[:-k]) <= radius))
                 yield batch(fps[at].view(np.int64), fps[at + k].view(np.int64))
             for at in np.flatnonzero(sizes > 64).tolist():
-                yield from leaves(int(key[starts[at]]), fps[starts[at] : starts[at] + sizes[at]], sizes[at] > leaf)
+                own = slice(starts[at], starts[at] + sizes[at])
+                yield from leaves(shift[own], key[own], fps[own], gray[own], sizes[at] > leaf)
 
         for got in batches:
-            now = got.column(0).to_numpy(), got.column(1).to_numpy().view(np.uint64)
-            key, fps = now if rest is None else (np.concatenate(x) for x in zip(rest, now))
-            if split and len(key) and key[0] != key[-1]:  # the first upper node of the partition, or one begun before
-                n = int(np.argmax(key != key[0]))
-                yield from leaves(int(key[0]), fps[:n], True)
-                key, fps, split = key[n:], fps[n:], False
-            if len(key) and key[0] != key[-1]:
-                n = int(np.argmax(key == key[-1]))
-                yield from whole(key[:n], fps[:n])
-                key, fps = key[n:], fps[n:]
-            if len(key) >= 2 * leaf:
-                n = len(key) - len(key) % leaf
-                yield from leaves(int(key[0]), fps[:n], True)
-                key, fps, split = key[n:], fps[n:], True
-            rest = key, fps
+            now = tuple(got.column(i).to_numpy() for i in range(4))
+            now = (*now[:2], now[2].view(np.uint64), now[3])
+            rows = now if rest is None else tuple(np.concatenate(x) for x in zip(rest, now))
+            if not len(rows[0]):
+                continue
+            alike = lambda i: (rows[0] == rows[0][i]) & (rows[1] == rows[1][i])  # noqa: B023, E731
+            n = int(np.argmin(alike(0))) or len(rows[0])
+            if split and n < len(rows[0]):  # the first upper node of the partition, or one begun before
+                yield from leaves(*(x[:n] for x in rows), True)
+                rows, split = tuple(x[n:] for x in rows), False
+            n = int(np.argmax(alike(-1)))
+            if n:
+                yield from whole(*(x[:n] for x in rows))
+                rows = tuple(x[n:] for x in rows)
+            if len(rows[0]) >= 2 * leaf:
+                n = len(rows[0]) - len(rows[0]) % leaf
+                yield from leaves(*(x[:n] for x in rows), True)
+                rows, split = tuple(x[n:] for x in rows), True
+            rest = rows
         if rest is not None and len(rest[0]):
-            yield from leaves(int(rest[0][0]), rest[1], True)
+            yield from leaves(*rest, True)
 
-    built = common.cut(ordered.select("key", "fp").mapInArrow(build, NODE))
+    built = common.cut(ordered.mapInArrow(build, NODE))
     inside = built.where("key is null").select("a", "b")
-    node = built.where("key is not null").select("key", "leaf", F.col("a").alias("mask"), F.col("b").alias("pattern"))
-    other = node.select("key", *(F.col(c).alias(f"{c}2") for c in ("leaf", "mask", "pattern")))
-    shared = F.col("pattern").bitwiseXOR(F.col("pattern2")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask2"))
-    kept = node.join(other, "key").where((F.col("leaf") < F.col("leaf2")) & (F.bit_count(shared) <= radius)).select("leaf", "leaf2")
-    rows = built.where("key is not null").select("leaf", "fps")
-    pairs = kept.join(rows, "leaf").join(rows.select(F.col("leaf").alias("leaf2"), F.col("fps").alias("fps2")), "leaf2").select("fps", "fps2")
+    own = built.where("key is not null")
+    kept = pruned(own.select("shift", "key", "rank", F.col("b").alias("node"), F.col("a").alias("mask"), F.col("b").alias("pattern")), radius, fan)
+    rows = own.select("shift", F.col("b").alias("node"), "fps")
+    pairs = kept.join(rows, ["shift", "node"]).join(rows.toDF("shift", "node2", "fps2"), ["shift", "node2"]).select("fps", "fps2")
 
     def across(batches):
         for got in batches:
@@ -204,6 +221,30 @@ def links(distinct: DataFrame, fp: str = "fp", radius: int = RADIUS, leaf: int =
     return inside.union(pairs.mapInArrow(across, LINK))
 
 
+def pruned(leaves: DataFrame, radius: int, fan: int = FAN) -> DataFrame:
+    """(shift, node, node2): the pairs of leaves of one upper node that may hold linked fingerprints.
+
+    leaves: shift, key, rank, node, mask, pattern. Nodes are put below others, ``fan`` by ``fan`` in order of rank,
+    until no upper node has more than fan of them; pairs are then followed down from there."""
+    key = ["shift", "key"]
+    alone = F.count("*").over(W.partitionBy(*key)) > 1
+    levels = [common.cut(leaves.withColumn("more", alone).where("more").drop("more"))]
+    while (levels[-1].groupBy(*key).count().agg(F.max("count")).first()[0] or 0) > fan:
+        place = F.floor((F.row_number().over(W.partitionBy(*key).orderBy("rank")) - 1) / fan).alias("above")
+        below = common.cut(levels[-1].select("*", place))
+        agree = F.bitwise_not(F.bit_or("pattern").bitwiseXOR(F.bit_and("pattern")))
+        above = below.groupBy(*key, "above").agg(F.min("rank").alias("rank"), F.bit_and("mask").bitwiseAND(agree).alias("mask"), F.min("pattern").alias("pattern"))
+        levels[-1:] = [below, common.cut(above.select(*key, "rank", F.col("above").alias("node"), "mask", "pattern"))]
+    apart = F.bit_count(F.col("pattern").bitwiseXOR(F.col("pattern2")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask2")))
+    again = lambda df: df.select(*key, *(F.col(c).alias(f"{c}2") for c in df.columns if c not in key))
+    pairs = levels[-1].join(again(levels[-1]), key).where((F.col("rank") <= F.col("rank2")) & (apart <= radius)).select(*key, "node", "node2")
+    for below in reversed(levels[:-1]):
+        pairs = pairs.select(*key, F.col("node").alias("above"), F.col("node2").alias("above2"))
+        pairs = pairs.join(below, [*key, "above"]).join(again(below), [*key, "above2"])
+        pairs = common.cut(pairs.where((F.col("rank") <= F.col("rank2")) & (apart <= radius)).select(*key, "node", "node2"))
+    return pairs.where("node != node2").select("shift", "node", "node2")
+
+
 def rooted(distinct: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
     """(fp, root): for each distinct fingerprint the smallest that links of at most radius bits reach."""
     roots = common.cut(common.components(links(distinct, "fp", radius, leaf)))
