@@ -23,19 +23,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a checkpoint's file, so that small tables are few files; large ones keep their partitions.
-FILE_ROWS = 50_000
+#: Bytes of a checkpoint's file, so that small tables are few files, and of a table that is broadcast.
+FILE_BYTES, BROADCAST_BYTES = 8 << 20, 32 << 20
+
+
+def width(value: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes up, by its type and its length."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value)
+    elif isinstance(kind, T.StructType):
+        size = sum((width(value[f.name], f.dataType) for f in kind.fields), F.lit(0))
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        size = F.octet_length(F.array_join(value, "", "")) + 16 * F.size(value)
+    elif isinstance(kind, (T.ArrayType, T.MapType)):
+        size = 32 * F.size(value) if not isinstance(kind, T.ArrayType) or isinstance(kind.elementType, T.StructType) else 8 * F.size(value)
+    else:
+        size = F.lit(0)
+    return F.coalesce(size, F.lit(0)).cast("long") + 8
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """(rows, about their bytes)."""
+    size = sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    n, total = df.select(size.alias("size")).agg(F.count("*"), F.sum("size")).first()
+    return n, total or 0
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of spark.checkpoint.dir; a temporary one is set only in local mode."""
+    """A reliable checkpoint in the shared folder of spark.checkpoint.dir; a temporary one is set only in local mode.
+
+    Its files are of FILE_BYTES, measured, or of one partition each. Rows must not depend on which task makes them, as
+    the blocks that a lost executor held are made again by tasks of other partitions."""
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = held.coalesce(held.count() // FILE_ROWS + 1).checkpoint(eager=True)
+    out = held.coalesce(measured(held)[1] // FILE_BYTES + 1).checkpoint(eager=True)
     held.unpersist()
     return out
 
@@ -61,8 +86,9 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 
 def few(keys: DataFrame, most: int = 1_000_000) -> DataFrame | None:
-    """keys to be broadcast, if they are at most so many rows (counted); None beyond that."""
-    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else None
+    """keys to be broadcast, if they are at most so many rows and BROADCAST_BYTES (both measured); None beyond that."""
+    n, size = measured(keys.limit(most + 1))
+    return F.broadcast(keys) if n <= most and size <= BROADCAST_BYTES else None
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -149,6 +175,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return after.toDF("node", "root").union(roots)
         now = after
 
-
-def md5_prefix(column: Column, digits: int) -> Column:
-    return F.substring(F.md5(column.cast("string")), 1, digits)

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from quillspark.llm import embeddings, licenses, mixing, packing, quality, repeats, secrets, simhash, tokens, toxicity
+from quillspark.llm import common, embeddings, licenses, mixing, packing, quality, repeats, secrets, simhash, tokens, toxicity
 
 rng = random.Random(3)
 WORDS = ["alpha", "Béta", "gamma", "delta", "of", "the", "and", "日本", "x1", "word.", "Ω"]
@@ -314,12 +314,13 @@ def test_simhash(spark, docs, leaf):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_simhash_links_in_a_crowd(spark):
-    """Many fingerprints that share their bits but a few: leaves of one upper node meet across partitions."""
+@pytest.mark.parametrize("blocks", [None, 5, 6])
+def test_simhash_links_in_a_crowd(spark, blocks):
+    """Many fingerprints that share their bits but a few: leaves of one upper node meet across partitions and levels."""
     r = np.random.default_rng(5)
     fps = np.unique(np.concatenate([np.uint64(1) << r.integers(0, 64, 400).astype(np.uint64), r.integers(0, 1 << 20, 600, np.uint64), r.integers(0, 1 << 63, 300, np.uint64)])).view(np.int64)
-    df = spark.createDataFrame([(int(i), int(x)) for i, x in enumerate(fps)], "doc_id long, fp long").repartition(5)
-    got = {x.fp: x.component_id for x in simhash.clusters(df, leaf=16).collect()}
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long").repartition(5)
+    got = {x.node: x.root for x in common.components(simhash.links(df, leaf=8, blocks=blocks, fan=3)).collect()}
     near = np.bitwise_count(fps[:, None].view(np.uint64) ^ fps[None, :].view(np.uint64)) <= 3
     label = np.arange(len(fps))
     while True:
@@ -327,4 +328,31 @@ def test_simhash_links_in_a_crowd(spark):
         if (new == label).all():
             break
         label = new
-    assert got == {int(x): int(label[i]) for i, x in enumerate(fps)}
+    least = {k: min(int(x) for x in fps[label == k]) for k in set(label.tolist())}
+    assert {int(x): got.get(int(x), int(x)) for x in fps} == {int(x): least[label[i]] for i, x in enumerate(fps)}
+
+
+def test_simhash_index_made_anew_is_the_same(spark):
+    """Leaves are known by what they hold, not by the task that makes them."""
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(int(x),) for x in np.unique(r.integers(0, 1 << 14, 3000))], "fp long")
+    one = {tuple(x) for x in common.components(simhash.links(df.repartition(7), leaf=16)).collect()}
+    assert one == {tuple(x) for x in common.components(simhash.links(df.coalesce(1), leaf=64)).collect()}
+
+
+def test_blocks_grow_with_the_corpus():
+    assert [simhash.blocks_for(n, 3) for n in (0, 10**5, 10**7, 10**10)] == [4, 4, 5, 6]
+    assert simhash.blocks_for(10**9, 1) >= 2 and simhash.blocks_for(10**12, 7) == 8
+
+
+def test_packing_survives_coalescing(spark):
+    rows = spark.createDataFrame([(i, 1 + i * 37 % 900) for i in range(4000)], "doc_id long, length long")
+    packed = packing.pack(rows, group=1000)
+    for df in (packed, packed.coalesce(1)):
+        got = df.collect()
+        assert len({(r.sequence_id, r.offset) for r in got}) == len(got) == 4000
+        sums = {}
+        for r in got:
+            sums[r.sequence_id] = sums.get(r.sequence_id, 0) + r.length
+        assert max(sums.values()) <= 4096
+    assert listed(packed) == listed(packed.coalesce(1))
