@@ -6,22 +6,26 @@ after another, and notices, which may be cut or altered. Rolling hashes of k wor
 position less template position; votes are counted per text, template and diagonal. A phrase stands
 where one diagonal has all its votes. For a notice, diagonals at most ``drift`` apart are merged, which
 spans words put in or left out, and verified: the share of the notice's k-grams that were hit must
-reach ``share``, its words may not spread over more than twice its length, and its own word (``needs``) must
-stand in the text.
+reach ``share``, and its words may not spread over more than twice its length.
 
-Only texts that hold the own word of some template are taken apart; no other text can have a span, so
-nothing is lost. Equal texts are taken apart once. Templates are a short fixed list, broadcast.
+Only texts that hold a word of some template's watch list are taken apart. The list is such that at most
+so many of the template's k-grams have none of its words that they fall short of what a span needs; a text
+without any of these words can have no span, so nothing is lost. Equal texts are taken apart once. Templates
+are a table of (label, notice, text), which callers may give; it is broadcast only as far as its measured bytes allow.
 
 Null texts count as empty. Words are runs of a-z, digits and characters beyond ASCII, after A-Z are
-lower-cased. Rows of equal text have equal results.
+lower-cased. Rows of equal text have equal results, repeated rows stay. A text without words has no span, an empty
+table gives no rows. A long text is a row of its k-grams each, dealt with all others. Other columns of df
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,21 +42,61 @@ PHRASES = [
     ("mit license", "mit"),
 ]
 
-# Wording of public license notices, label, a word that a span must come with.
+# Wording of public license notices, in short and whole, and their labels.
 NOTICES = [
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl", "redistribute"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3", "license"),
-    ("gnu lesser general public license", "lgpl", "lesser"),
-    ("gnu affero general public license", "agpl", "affero"),
-    ("licensed under the apache license version 2 0", "apache-2", "license"),
-    ("you may not use this file except in compliance with the license", "apache", "license"),
-    ("licensed under cc by nc 4 0", "cc-by-nc", "license"),
-    ("licensed under cc by sa 4 0", "cc-by-sa", "license"),
-    ("this work is licensed under a creative commons attribution", "cc", "commons"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit", "permission"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", "redistribution"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl", "mozilla"),
-    ("this is free and unencumbered software released into the public domain", "public-domain", "unencumbered"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    ("this work is licensed under the gnu general public license version 3", "gpl-3"),
+    ("gnu lesser general public license", "lgpl"),
+    ("gnu affero general public license", "agpl"),
+    ("licensed under the apache license version 2 0", "apache-2"),
+    ("you may not use this file except in compliance with the license", "apache"),
+    ("licensed under cc by nc 4 0", "cc-by-nc"),
+    ("licensed under cc by sa 4 0", "cc-by-sa"),
+    ("this work is licensed under a creative commons attribution", "cc"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
+    ("this source code form is subject to the terms of the mozilla public license", "mpl"),
+    ("this is free and unencumbered software released into the public domain", "public-domain"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+        "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+        "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject "
+        "to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the software",
+        "mit-whole",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that "
+        "the above copyright notice and this permission notice appear in all copies",
+        "isc",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions "
+        "are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+        "documentation and or other materials provided with the distribution",
+        "bsd-whole",
+    ),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may "
+        "obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing "
+        "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express "
+        "or implied see the license for the specific language governing permissions and limitations under the license",
+        "apache-2-whole",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published "
+        "by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the "
+        "hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular "
+        "purpose see the gnu general public license for more details",
+        "gpl-whole",
+    ),
+    (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages "
+        "arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial "
+        "applications and to alter it and redistribute it freely",
+        "zlib",
+    ),
 ]
 
 PHRASE_K, NOTICE_K, SHARE, DRIFT = 2, 3, 0.6, 2
@@ -63,15 +107,39 @@ def gram_at(k: int):
     return lambda i: F.xxhash64(F.array_join(F.slice(F.col("words"), i, k), " "))
 
 
-def templates(df: DataFrame, phrases: Sequence, notices: Sequence) -> DataFrame:
-    """(template, label, notice, grams, words, needs, k, place, hash): one row for each k-gram of a template."""
-    rows = [(i, label, False, words, words.split()[-1], PHRASE_K) for i, (words, label) in enumerate(phrases)]
-    rows += [(len(rows) + i, label, True, words, needs, NOTICE_K) for i, (words, label, needs) in enumerate(notices)]
-    made = df.sparkSession.createDataFrame(rows, "template int, label string, notice boolean, text string, needs string, k int")
-    made = made.withColumn("w", F.split("text", " ")).withColumn("words", F.size("w"))
-    made = made.withColumn("grams", F.col("words") - F.col("k") + 1).withColumn("place", F.explode(F.sequence(F.lit(0), F.col("grams") - 1)))
-    made = made.withColumn("hash", F.xxhash64(F.array_join(F.slice(F.col("w"), F.col("place") + 1, F.col("k")), " ")))
-    return made.drop("w", "text")
+def template_table(spark: SparkSession, phrases: Sequence = tuple(PHRASES), notices: Sequence = tuple(NOTICES)) -> DataFrame:
+    """(label, notice, text) of phrases and notices, which are (text, label)s."""
+    rows = [(label, False, text) for text, label in phrases] + [(label, True, text) for text, label in notices]
+    return spark.createDataFrame(rows, "label string, notice boolean, text string")
+
+
+def templates(table: DataFrame) -> DataFrame:
+    """(template, label, notice, grams, words, k, place, gram, hash): one row for each k-gram of (label, notice, text).
+
+    A template of fewer words than k has none, and is found nowhere."""
+    made = table.select("label", "notice", F.split("text", " ").alias("w"), F.when(F.col("notice"), NOTICE_K).otherwise(PHRASE_K).alias("k"))
+    made = made.withColumn("template", F.xxhash64("label", "notice", F.array_join("w", " "))).dropDuplicates(["template"])
+    made = made.withColumn("words", F.size("w")).where("words >= k").withColumn("grams", F.col("words") - F.col("k") + 1)
+    made = made.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("grams") - 1)))
+    made = made.withColumn("gram", F.expr("slice(w, place + 1, k)"))
+    return made.withColumn("hash", F.xxhash64(F.array_join("gram", " "))).drop("w")
+
+
+def watched(grams: Sequence[Sequence[str]], least: int) -> list[str]:
+    """Words of which any ``least`` of the k-grams hold one: long ones first, while they add to what is covered."""
+    open_, chosen = set(range(len(grams))), []
+    for word in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
+        own = {i for i in open_ if word in grams[i]}
+        if own and len(open_) >= least:
+            chosen.append(word)
+            open_ -= own
+    return chosen
+
+
+def watch_list(known: DataFrame, share: float) -> list[str]:
+    """The watched words of all templates, sorted; as many at most as the templates have."""
+    rows = known.groupBy("template", "notice", "grams").agg(F.collect_list("gram").alias("all")).collect()
+    return sorted({w for r in rows for w in watched(r["all"], max(1, math.ceil(share * r["grams"] - 1e-9)) if r["notice"] else r["grams"])})
 
 
 def votes(words: DataFrame, known: DataFrame) -> DataFrame:
@@ -81,7 +149,9 @@ def votes(words: DataFrame, known: DataFrame) -> DataFrame:
         last = F.size("words") - k + 1
         grams = F.transform(F.sequence(F.lit(1), last), gram_at(k))
         own = words.where(last >= 1).select("key", F.posexplode(grams).alias("at", "hash"))
-        hits.append(own.join(F.broadcast(known.where(F.col("k") == k)), "hash"))
+        these = known.where(F.col("k") == k).drop("gram")
+        few = common.few(these)
+        hits.append(own.join(these if few is None else few, "hash"))
     rows = reduce(DataFrame.unionByName, hits).withColumn("diagonal", F.col("at") - F.col("place"))
     fixed = [F.first(c).alias(c) for c in ("label", "notice", "grams", "words", "k")]
     return rows.groupBy("key", "template", "diagonal").agg(
@@ -103,20 +173,18 @@ def spans(words: DataFrame, known: DataFrame, share: float = SHARE, drift: int =
     )
     score = F.col("hit") / F.col("grams")
     merged = merged.where((score >= share) & (F.col("high") - F.col("low") + F.col("k") <= 2 * F.col("words")))
-    merged = merged.select("key", "label", F.lit(True).alias("notice"), F.col("low").cast("long").alias("start"), (F.col("high") + F.col("k")).cast("long").alias("end"), score.alias("score"), "template")
-    needs = known.select("template", "needs").distinct()
-    held = merged.join(F.broadcast(needs), "template").join(words.select("key", F.col("words").alias("held")), "key")
-    merged = held.where(F.exists("held", lambda w: w.contains(F.col("needs")))).select(exact.columns)
+    merged = merged.select("key", "label", F.lit(True).alias("notice"), F.col("low").cast("long").alias("start"), (F.col("high") + F.col("k")).cast("long").alias("end"), score.alias("score"))
     return exact.union(merged)
 
 
-def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: Sequence = tuple(PHRASES), notices: Sequence = tuple(NOTICES), **options) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
-    needs = sorted({words.split()[-1] for words, _ in phrases if words != "cc by"} | {x for *_, x in notices})
+def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates_: DataFrame | None = None, share: float = SHARE, drift: int = DRIFT) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row.
+
+    templates_: (label, notice, text), else ``template_table``; those that are no notices are base phrases."""
+    known = common.cut(templates(template_table(df.sparkSession) if templates_ is None else templates_))
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     low = F.lower(value)
-    gate = reduce(lambda a, b: a | b, [low.contains(x) for x in needs])
-    gate = gate | low.contains("cc") & low.rlike(r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by")
+    gate = reduce(lambda a, b: a | b, [low.contains(x) for x in watch_list(known, share)], F.lit(False))
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), value.alias("text"))
     n_words = F.regexp_count("text", F.lit(ANY_CASE)).cast("long").alias("n_words")
     rows = rows.withColumn("gate", gate)
@@ -124,7 +192,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: Seq
     opened = rows.where("gate").select(F.md5("text").alias("key"), "text").dropDuplicates(["key"])
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = common.cut(opened.select("key", F.regexp_extract_all(lowered, F.lit(f"({WORD})")).alias("words")))
-    found = spans(words, common.cut(templates(df, phrases, notices)), **options)
+    found = spans(words, known, share, drift)
     base = ~F.col("notice")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     found = common.cut(found.groupBy("key").agg(
@@ -139,15 +207,14 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: Seq
 
 
 def _values() -> str:
-    rows = [(i, label, "false", words, words.split()[-1], PHRASE_K) for i, (words, label) in enumerate(PHRASES)]
-    rows += [(len(rows) + i, label, "true", words, needs, NOTICE_K) for i, (words, label, needs) in enumerate(NOTICES)]
-    return ", ".join(f"({i}, '{label}', {notice}, '{words}', '{needs}', {k})" for i, label, notice, words, needs, k in rows)
+    rows = [(label, "false", words, PHRASE_K) for words, label in PHRASES] + [(label, "true", words, NOTICE_K) for words, label in NOTICES]
+    return ", ".join(f"({i}, '{label}', {notice}, '{words}', {k})" for i, (label, notice, words, k) in enumerate(rows))
 
 
 #: The same over documents, for DuckDB, without the gate: every text is taken apart.
 SQL = f"""
 WITH t AS (
-  SELECT *, string_split(said, ' ') AS tw FROM (VALUES {_values()}) AS v(template, label, notice, said, needs, k)),
+  SELECT *, string_split(said, ' ') AS tw FROM (VALUES {_values()}) AS v(template, label, notice, said, k)),
 tg AS (
   SELECT template, k, place, array_to_string(tw[place + 1 : place + k], ' ') AS gram
   FROM (SELECT *, unnest(range(0, len(tw) - k + 1)) AS place FROM t) AS u),
@@ -174,9 +241,8 @@ n AS (
   SELECT rid, template, min(low) AS low, max(high) AS high, len(list_distinct(flatten(list(places)))) AS hit FROM m GROUP BY rid, template, part),
 f AS (
   SELECT n.rid, t.label, true AS notice, n.low AS start, n.hit::DOUBLE / (len(t.tw) - t.k + 1) AS score
-  FROM n JOIN t ON n.template = t.template JOIN w ON n.rid = w.rid
-  WHERE n.hit::DOUBLE / (len(t.tw) - t.k + 1) >= {SHARE} AND n.high - n.low + t.k <= 2 * len(t.tw)
-    AND len(list_filter(w.words, lambda x: contains(x, t.needs))) > 0),
+  FROM n JOIN t ON n.template = t.template
+  WHERE n.hit::DOUBLE / (len(t.tw) - t.k + 1) >= {SHARE} AND n.high - n.low + t.k <= 2 * len(t.tw)),
 a AS (
   SELECT rid, count(*) FILTER (WHERE NOT notice) AS n_base, min(start) FILTER (WHERE NOT notice) AS first_word, max(start) FILTER (WHERE NOT notice) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE NOT notice) AS base_labels,

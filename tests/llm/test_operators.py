@@ -198,6 +198,38 @@ def test_licenses(docs):
     assert text and licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_altered_notices(spark, docs):
+    """A letter lost in any word of a notice, and a word put in, as long as enough k-grams stay; other templates as a table."""
+    said = [(t, lab) for t, lab in licenses.NOTICES if len(t.split()) >= 12]
+    rows, want = [], {}
+    for text, label in said:
+        w = text.split()
+        for i in range(0, len(w), 3):
+            for altered in (w[:i] + [w[i][:-1] + "q"] + w[i + 1 :], w[:i] + ["put"] + w[i:]):
+                grams = {tuple(altered[k : k + 3]) for k in range(len(altered) - 2)}
+                own = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+                if sum(g in grams for g in own) >= 0.6 * len(own):
+                    want[len(rows)] = label
+                rows.append((len(rows), "x y " + " ".join(altered).title() + ". z"))
+    assert len(want) > 0.9 * len(rows)
+    found = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not [i for i, label in want.items() if label not in found[i]]
+    own = spark.createDataFrame([("one", True, "words of the house are these and no others"), ("two", False, "x1 of"), ("none", True, "short")], "label string, notice boolean, text string")
+    df = spark.createDataFrame([(1, "words of the house are these"), (2, "X1  of"), (3, "short"), (4, None)], "doc_id long, text string")
+    assert {r.doc_id: (r.labels, r.n_base) for r in licenses.scan(df, templates_=own).collect()} == {1: ("", 0) if 4 < 0.6 * 7 else ("one", 0), 2: ("two", 1), 3: ("", 0), 4: ("", 0)}
+
+
+def test_watched_words_are_in_every_span():
+    import itertools
+
+    for text in ("a bb ccc dddd eeeee ffffff", "gnu lesser general public license", "x x x x x x"):
+        w = text.split()
+        grams = [w[i : i + 3] for i in range(len(w) - 2)]
+        for least in range(1, len(grams) + 1):
+            words = licenses.watched(grams, least)
+            assert all(any(set(words) & set(g) for g in some) for some in itertools.combinations(grams, least))
+
+
 INSULTS = ["idiot", "moron", "clown", "loser"]
 
 
