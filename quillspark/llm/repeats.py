@@ -1,12 +1,13 @@
 """Removal of long repeated byte strings by bucket-pointer refinement over Spark.
 
-Every position of a text belongs to a bucket of equal q-grams (q = 200). Bucket identifiers are a
-function of content, so they need no numbering; they are refined by the identifiers at later offsets:
-(bucket at p, bucket at p + 200) is the bucket of 400 bytes at p, the full length, and what these give is
-used again for runs and blocks of windows. Two windows of 400 bytes are equal if and
-only if their identifiers are (hashes of 64 bits, together with the q-gram's own 64).
-
-Sorting all positions is not needed. Each window of 400 bytes has an anchor: the least q-gram in it, the
+Every position of a text belongs to a bucket of equal q-grams (q = 25). Bucket identifiers are a
+function of content, so they need no numbering. They are refined by the identifiers at later offsets, and
+what comes out is refined again: (bucket at p, bucket at p + 25) is the bucket of 50 bytes at p, from these
+come those of 100, 200 and 400 bytes, the full length, and again those of runs and blocks of windows. Two
+windows of 400 bytes are equal if and only if their identifiers are (hashes of 64 bits, together with the 64
+of their 200 bytes). Only positions that can still have an equal are sorted, on these identifiers:
+
+each window of 400 bytes has an anchor, the least bucket of 200 bytes in it, the
 leftmost if several are least. Equal windows have equal anchors at equal places, so
 
 1. anchors alone are sorted into buckets, and those with a bucket to themselves are dropped;
@@ -18,7 +19,10 @@ leftmost if several are least. Equal windows have equal anchors at equal places,
 Buckets are Spark aggregates with partial sums, never lists, so a hot bucket is one row for each task.
 Texts that occur more than once are repeated throughout, and count once in all other comparisons.
 
-A null text is an empty one. Rows of equal text have equal results, whatever their other columns.
+A null text is an empty one; nothing of texts below 400 bytes is removed. Rows of equal text have equal results,
+whatever their other columns, and doc_ids that are null or repeated stay as they are. An empty table gives no rows.
+A text of any length is worked on in segments. Texts are told apart by 64 bits; where these do not suffice, which is
+looked for in all texts, by others.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-LENGTH, Q, SEGMENT, BLOCK = 400, 200, 1 << 21, 16
+LENGTH, Q, GRAM, SEGMENT, BLOCK = 400, 200, 25, 1 << 21, 16
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -59,14 +63,17 @@ def powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def buckets(data: np.ndarray) -> np.ndarray:
-    """The identifier of the q-gram at each position where one begins."""
+    """The bucket of Q bytes at each position where so many begin: that of GRAM bytes, refined again and again."""
     table, up, down = powers()
     n = len(data)
     if n < Q:
         return np.zeros(0, np.uint64)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(table[data] * up[:n], out=total[1:])
-    return mix((total[Q:] - total[:-Q]) * down[: n - Q + 1])
+    bucket, size = mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1]), GRAM
+    while size < Q:
+        bucket, size = refined(bucket, size), 2 * size
+    return bucket
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -249,10 +256,24 @@ def cut_out(text: bytes, lo: np.ndarray, n: np.ndarray) -> tuple[int, int, str]:
     return int((end - start).sum()), len(start), digest.hexdigest()
 
 
+def identified(rows: DataFrame, ident=lambda text: F.xxhash64(text)) -> DataFrame:
+    """doc_id, id and text: ids differ if texts do. Of texts that share one, all but the least get others."""
+    digest = F.sha2("text", 256)
+    rows = rows.select("doc_id", ident("text").alias("id"), "text")
+    several = rows.groupBy("id").agg(F.min(digest).alias("least"), F.max(digest).alias("most")).where("least != most").select("id", "least")
+    several = common.cut(several)
+    few = common.few(several)
+    if several.isEmpty():
+        return rows
+    found = rows.join(several if few is None else few, "id", "left")
+    own = F.when(F.col("least").isNotNull() & (digest != F.col("least")), F.xxhash64(digest, F.lit(1))).otherwise(F.col("id"))
+    return found.select("doc_id", own.alias("id"), "text")
+
+
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("id"), "text")
+    rows = identified(rows)
     spans, copies = removed(rows.select("id", "text").where(F.octet_length("text") >= LENGTH))
     spans = common.cut(spans.join(copies, "id", "left_anti").groupBy("id").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n")))
     flags = common.cut(spans.select("id", F.lit(False).alias("all")).union(copies.select("id", F.lit(True))))
