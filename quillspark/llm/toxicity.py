@@ -1,7 +1,8 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
 
 The kernel of two words counts their common subsequences of 4 characters (with marks for a word's begin
-and end) inside stretches of 7, each weighed by ``DECAY`` for every character it skips, and is normalised.
+and end) inside stretches of 7, each weighed by ``DECAY`` for every character it skips; a word is scaled by the root of
+the sum of its squared weights, place by place.
 ASCII signs that are no letters or digits are passed over and make no gap, so "i-d.i*o.t" is the word that
 it spells, and characters put in lose it some subsequences only. Single letters that stand alone in a row
 are read as one word beside themselves. A sentence's kernel is the sum over its words.
@@ -15,9 +16,12 @@ document's score costs its distinct words. It is a logistic function of the valu
 how many are clearly toxic, their share, the highest, and what exceeds a mark.
 
 Labels are learnt from a bounded sample: of either class the ``most`` labelled documents with the smallest
-hashes of their ids and at most ``longest`` characters, and none that are held out. Scoring reads every
-word of every text. Null texts count as empty; an empty text has the score of a text without findings.
-Labels of a doc_id that disagree count as toxic.
+hashes of their ids and at most ``longest`` characters, and none that are held out; of their sentences at most
+``sentences``, drawn by a fixed seed, train the machine, and there are ``landmarks`` landmarks. Scoring reads every
+word of every text, of any length. Null texts count as empty; an empty text has the score of a text without
+findings. Labels of a doc_id that disagree count as toxic, null ids and other labels than 0 and 1 as none; of rows
+of one id the least text is learnt from. Without labels of both classes nothing is toxic. Rows of equal text have equal
+scores, repeated rows stay, an empty table gives no rows. A column of df that shares a made column's name gives way.
 """
 
 from __future__ import annotations
@@ -241,12 +245,12 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST, longest: int = LONGEST) -> Model:
+def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST, longest: int = LONGEST, landmarks: int = LANDMARKS, sentences: int = SENTENCES) -> Model:
     """A model from the labelled rows that are not held out; it gathers 2 * most * longest characters at most."""
     known = F.broadcast(sample(labels.where(~held_out(F.col(doc_id))), label, most, doc_id, lowest=False))
     rows = df.select(F.col(f"`{doc_id}`").alias("__id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     rows = rows.where(F.length("text") <= longest).join(known, "__id").groupBy("__id", "__label").agg(F.min("text").alias("text"))
-    return train([(r["__label"], r["text"]) for r in sorted(rows.collect())])  # as many documents at most as ids
+    return train([(r["__label"], r["text"]) for r in sorted(rows.collect())], landmarks, sentences)  # as many documents at most as ids
 
 
 def score(df: DataFrame, model: Model, text: str = "text", carry=None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
