@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import common, embeddings, licenses, mixing, packing, quality, repeats, secrets, simhash, tokens, toxicity
 
@@ -170,6 +171,21 @@ def test_repeats(spark, docs):
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_texts_are_told_apart_where_their_hash_does_not(spark):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(["a", "b", "b", "c", "ä", ""])], "doc_id long, text string")
+    found = {r.text: r.id for r in repeats.identified(df, lambda text: F.length(text).cast("long")).collect()}
+    assert len(set(found.values())) == len(found) == 5
+
+
+def test_buckets_are_equal_where_their_bytes_are():
+    data = np.frombuffer(("ab" * 300 + "xyz" * 200).encode(), np.uint8)
+    found = repeats.buckets(data)
+    by = {}
+    for i, x in enumerate(found.tolist()):
+        by.setdefault(data[i : i + repeats.Q].tobytes(), set()).add(x)
+    assert len(found) == len(data) - repeats.Q + 1 and all(len(x) == 1 for x in by.values()) and len({min(x) for x in by.values()}) == len(by)
+
+
 def test_repeats_in_a_text_of_several_segments(spark):
     r = np.random.default_rng(1)
     text = bytes(r.integers(97, 123, 2 * repeats.SEGMENT + 5000, np.uint8))
@@ -252,6 +268,46 @@ def test_toxicity(spark):
     assert found == {**dict.fromkeys(range(len(spelt)), 1), 90: 0, 91: 0, 92: 0}
 
 
+def test_subsequence_kernel():
+    """Values by features equal the kernel's definition: weighed pairs of equal subsequences of 4 in stretches of 7."""
+    from itertools import combinations
+
+    def subsequences(word):
+        w, out = "\x02" + word + "\x03", {}
+        for at in combinations(range(len(w)), 4):
+            if at[-1] - at[0] < toxicity.SPAN:
+                key = "".join(w[i] for i in at)
+                out[key] = out.get(key, 0.0) + toxicity.DECAY ** (at[-1] - at[0] - 3)
+        return out
+
+    def scale(word):
+        w = "\x02" + word + "\x03"
+        return sum(toxicity.DECAY ** (2 * (at[-1] - at[0] - 3)) for at in combinations(range(len(w)), 4) if at[-1] - at[0] < toxicity.SPAN) ** 0.5
+
+    words = ["idiot", "idixot", "clown", "brown", "town"]
+    found = [subsequences(w) for w in words]
+    want = np.array([[sum(x * b.get(k, 0) for k, x in a.items()) for b in found] for a in found])
+    norm = np.array([scale(w) for w in words])
+    assert np.allclose(toxicity.kernel(words, words), want / np.outer(norm, norm), atol=1e-3)
+
+
+def test_machine_parts_what_a_plane_parts():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(400, 5))
+    y = np.where(x @ np.array([1.0, -2, 0, 0.5, 0]) > 0.3, 1.0, -1.0)
+    w = toxicity.machine(x, y, penalty=1e-3)
+    assert (np.sign(x @ w[:-1] + w[-1]) == y).mean() > 0.98
+
+
+def test_landmark_map_keeps_the_kernel():
+    """Words that are landmarks have the products that their kernel says (Nystroem)."""
+    marks = ["idiot", "moron", "clown", "alpha", "gamma"]
+    base = toxicity.kernel(marks, marks).astype(float)
+    e, v = np.linalg.eigh((base + base.T) / 2)
+    mapped = toxicity.kernel(marks, marks, v[:, e > 1e-6] / np.sqrt(e[e > 1e-6]))
+    assert np.allclose(mapped @ mapped.T, base, atol=1e-3)
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.rate(docs, none).collect()} == {0}
