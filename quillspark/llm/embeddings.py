@@ -4,15 +4,20 @@ Vectors are normalised and rotated onto the principal axes of all vectors (their
 summed by Spark; a d x d matrix reaches the driver). Two unit vectors of cosine c are sqrt(2 - 2c)
 apart, so no pair that links differs by more in any coordinate: vectors fall into cells of that width
 along the leading axes, and only neighbouring cells of one label are compared. Cells are dealt into
-tiles of at most about ``tile`` vectors, by a hash, so that a hot label or cell is many tiles. For a
-pair of tiles the leading coordinates are multiplied first; what the rest can add is at most the
-product of the suffix norms, and rows and columns that cannot reach the threshold any more are left
-out of the next coordinates. The pairs that remain are decided by the cosine of the original vectors in
-double precision. Equal vectors are compared once, with their number.
+tiles of at most about ``tile`` vectors, by a hash, so that a hot label or cell is many tiles. Pairs of tiles
+are compared twice. First only sketches move: the leading ``SKETCH`` coordinates in single precision and the
+norm of the others. Leading coordinates are multiplied, what the others can add is at most the product of
+those norms, and vectors that can reach the threshold with none of the other tile go no further. Then the
+whole vectors of those left move, once for each pair of tiles in which they may have links: dimensions are
+accumulated step by step, and rows and columns that cannot reach the threshold any more, by their suffix norms,
+are left out of the next. The pairs that remain are decided by the cosine of the original vectors in double
+precision, scaled by powers of two, so that no component over- or underflows. Equal vectors are compared once,
+with their number.
 
 A vector that is null, zero, or holds a null or a component that is not finite links with nothing, as
 does one without label; it is its own component. Vectors of different lengths never link. Rows of equal
-vec_id are rows of their own; a component's id is its smallest vec_id that is not null.
+vec_id are rows of their own, as are repeated rows; a component's id is its smallest vec_id that is not null. An
+empty table gives no rows. Columns of df other than the three are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-COSINE, AXES, TILE, STEP = 0.98, 2, 1024, 8
-SLACK = 1e-7  # of rotated products, far above their rounding
+COSINE, AXES, TILE, STEP, SKETCH = 0.98, 2, 1024, 8, 16
+SLACK, SINGLE = 1e-7, 1e-5  # of rotated products in double and in single precision, far above their rounding
 
 
 def distinct_vectors(rows: DataFrame) -> DataFrame:
@@ -38,7 +43,7 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     fine = rows.where(F.col("label").isNotNull() & F.col("vector").isNotNull()).select("id", "label", numbers.alias("v"))
     fine = fine.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     fine = fine.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
-    key = F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.transform("v", lambda x: x.cast("string")), ",")), 256)
+    key = F.md5(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.transform("v", lambda x: x.cast("string")), ",")))
     return fine.withColumn("key", key).groupBy("key").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least")).withColumn("d", F.size("v"))
 
 
@@ -77,6 +82,11 @@ def by_length(column: pa.Array):
         yield d, at, values[start[at][:, None] + np.arange(d)]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by powers of two, which changes no digit, so that their largest components are from 0.5 to 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def norms(x: np.ndarray) -> np.ndarray:
     """Lengths, safe for components whose squares over- or underflow."""
     top = np.abs(x).max(axis=1)
@@ -84,23 +94,43 @@ def norms(x: np.ndarray) -> np.ndarray:
 
 
 def cells(vectors: DataFrame, rotation: dict[int, np.ndarray], cosine: float, lead: int) -> DataFrame:
-    """vectors with cell, the place of a vector along the leading axes in widths of the largest distance."""
+    """vectors with cell, the place of a vector along the leading axes in widths of the largest distance, and
+    sketch: its leading coordinates, zeros if it has fewer, and the norm of the others."""
     width = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
 
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("v"))
-            out = np.zeros((len(column), lead), np.int64)
+            out, sketch = np.zeros((len(column), lead), np.int64), np.zeros((len(column), SKETCH + 1), "<f4")
             for d, at, x in by_length(column):
-                y = (x / norms(x)[:, None]) @ rotation[d][:, :lead]
-                out[at, : y.shape[1]] = np.floor(y / width)
-            yield batch.append_column("cell", pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * lead, pa.array(out.ravel())))
-
-    return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, T.StructField("cell", T.ArrayType(T.LongType()))]))
+                x = scaled(x)
+                y = (x / norms(x)[:, None]) @ rotation[d]
+                out[at, : min(d, lead)] = np.floor(y[:, :lead] / width)
+                sketch[at, : min(d, SKETCH)] = y[:, :SKETCH]
+                sketch[at, SKETCH] = np.sqrt(np.square(y[:, SKETCH:]).sum(axis=1))
+            cell = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * lead, pa.array(out.ravel()))
+            yield batch.append_column("cell", cell).append_column("sketch", pa.array([x.tobytes() for x in sketch], pa.binary()))
+
+    more = [T.StructField("cell", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
+    return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, *more]))
+
+
+def may_link(a: np.ndarray, b: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which sketches of a, and which of b, may reach the threshold with one of the other (not with themselves)."""
+    rows, columns = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    for i in range(0, len(a), 512):
+        own = a[i : i + 512]
+        fit = own[:, :-1] @ b[:, :-1].T + own[:, -1:] * b[:, -1] >= cosine - SINGLE
+        if same:
+            fit[np.arange(len(own)), np.arange(i, i + len(own))] = False
+        rows[i : i + 512] = fit.any(axis=1)
+        columns |= fit.any(axis=0)
+    return rows, columns
 
 
 def compare(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, cosine: float, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the pairs of rows of a and b whose cosine reaches the threshold."""
+    a, b = scaled(a), scaled(b)
     na, nb = norms(a), norms(b)
     ua, ub = a / na[:, None], b / nb[:, None]
     x, y = ua @ rotation, ub @ rotation
@@ -143,7 +173,7 @@ def tiled_links(vectors: DataFrame, rotation: dict[int, np.ndarray], cosine: flo
     sizes = vectors.groupBy("label", "d", "cell").agg(F.count("*").alias("size")).withColumn("tiles", F.ceil(F.col("size") / tile))
     sizes = common.cut(sizes)
     placed = vectors.join(sizes.select("label", "d", "cell", "tiles"), ["label", "d", "cell"])
-    placed = common.cut(placed.withColumn("tile", F.pmod(F.xxhash64("key"), "tiles")).select("key", "label", "d", "cell", "tile", "v", "n"))
+    placed = common.cut(placed.withColumn("tile", F.pmod(F.xxhash64("key"), "tiles")).select("key", "label", "d", "cell", "tile", "v", "n", "sketch"))
     # pairs of tiles in the same or neighbouring cells, each pair once
     mine = sizes.select("label", "d", "cell", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     moves = F.array(*[F.array(*[F.lit(x) for x in m]) for m in product((-1, 0, 1), repeat=lead)])
@@ -152,10 +182,25 @@ def tiled_links(vectors: DataFrame, rotation: dict[int, np.ndarray], cosine: flo
     order = F.struct("cell", "tile") <= F.struct(F.col("cell2").alias("cell"), F.col("tile2").alias("tile"))
     pairs = there.join(other, ["label", "d", "cell2"]).where(order)
     pairs = common.cut(pairs.withColumn("pair", F.xxhash64("label", "d", "cell", "tile", "cell2", "tile2")))
-    left = pairs.join(placed, ["label", "d", "cell", "tile"]).select("pair", "d", "key", "n", "v", F.lit(0).alias("side"))
-    right = placed.select("label", "d", F.col("cell").alias("cell2"), F.col("tile").alias("tile2"), "key", "n", "v")
+    thin = placed.select("label", "d", "cell", "tile", "key", "sketch")
+    left = pairs.join(thin, ["label", "d", "cell", "tile"]).select("pair", "key", "sketch", F.lit(0).alias("side"))
+    right = thin.toDF("label", "d", "cell2", "tile2", "key", "sketch")
     same = (F.col("cell") == F.col("cell2")) & (F.col("tile") == F.col("tile2"))
-    right = pairs.where(~same).join(right, ["label", "d", "cell2", "tile2"]).select("pair", "d", "key", "n", "v", F.lit(1).alias("side"))
+    right = pairs.where(~same).join(right, ["label", "d", "cell2", "tile2"]).select("pair", "key", "sketch", F.lit(1).alias("side"))
+
+    def sift(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side = table.column("side").to_numpy()
+        x = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<f4").reshape(-1, SKETCH + 1)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        rows, columns = may_link(x[a], x[b] if len(b) else x[a], cosine, not len(b))
+        keep = np.zeros(len(x), bool)
+        keep[a] = rows if len(b) else rows | columns
+        keep[b] = columns if len(b) else False
+        return table.select(["pair", "key", "side"]).filter(pa.array(keep))
+
+    open_ = common.cut(left.union(right).groupBy("pair").applyInArrow(sift, "pair long, key string, side int"))
+    whole = open_.join(placed.select("key", "d", "n", "v"), "key")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -174,7 +219,7 @@ def tiled_links(vectors: DataFrame, rotation: dict[int, np.ndarray], cosine: flo
         s, t = forest(p, q, len(key))
         return pa.table({"a": pa.array([*key[some], *key[s]], pa.string()), "b": pa.array([*[None] * len(some), *key[t]], pa.string()), "links": pa.array([*links[some].tolist(), *[None] * len(s)], pa.int64())})
 
-    found = common.cut(left.union(right).groupBy("pair").applyInArrow(run, "a string, b string, links long"))
+    found = common.cut(whole.groupBy("pair").applyInArrow(run, "a string, b string, links long"))
     return found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links")), found.where("b is not null").select("a", "b")
 
 
@@ -191,7 +236,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     known = known.join(least, "root").join(links, "key", "left").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     known = common.cut(known)
     keyed = rows.withColumn("v", F.transform("vector", lambda x: x.cast("double") + F.lit(0.0)))
-    key = F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.transform("v", lambda x: x.cast("string")), ",")), 256)
+    key = F.md5(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.transform("v", lambda x: x.cast("string")), ",")))
     fine = F.col("label").isNotNull() & F.col("vector").isNotNull() & F.forall("v", lambda x: x.isNotNull())
     keyed = keyed.select("id", F.when(fine, key).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")))).alias("key"))
     out = keyed.join(known, "key", "left")

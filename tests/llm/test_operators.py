@@ -123,6 +123,7 @@ def test_embeddings(spark):
     rows = [(i, x.tolist(), int(i % 2)) for i, x in enumerate(np.concatenate([base, near, base[:5] * 2, base[:5]]))]
     odd = [None, [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [float("inf")] * 16, [1.0] * 5, [1e-200] * 5, [-0.0, 1.0], [0.0, 1.0], []]
     rows += [(1000 + i, x, 0) for i, x in enumerate(odd)] + [(2000, base[0].tolist(), None), (None, base[1].tolist(), 1), (3, base[3].tolist(), 1), (3, base[3].tolist(), 1)]
+    rows += [(3000 + i, (np.array([1.0 + i * 1e-3, 2, 3]) * 10.0**k).tolist(), 0) for i, k in enumerate((-200, -200, 200, 307, -300, 0))]  # squares leave the range
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     fine = [x is not None and lab is not None and len(x) > 0 and None not in x and np.isfinite(x).all() and np.any(x) for _, x, lab in rows]
     links = [[j for j in range(len(rows)) if j != i and fine[i] and fine[j] and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]) and cosine(rows[i][1], rows[j][1]) >= 0.98] for i in range(len(rows))]
