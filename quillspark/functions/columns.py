@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import lru_cache
 
@@ -55,10 +56,6 @@ def among(value: Column, *options: str) -> Column:
     return F.array_contains(_literal("set", tuple(options)), value)
 
 
-def has(value: Column, pattern: str) -> Column:
-    return value.rlike(pattern)
-
-
 def drop_end(value: Column, suffix: str) -> Column:
     """value without the suffix, as often as it stands at the end."""
     return F.regexp_replace(value, f"(?:{suffix})+$", "")
@@ -100,5 +97,20 @@ def only(condition: Column, value: Column) -> Column:
     return F.when(condition, value)
 
 
+PLAIN = re.compile(r"[\w '%°²³]+").fullmatch
+
+
 def one_of(options: Sequence[str]) -> str:
-    return "(?:" + "|".join(options) + ")"
+    """A pattern for any of the options. Plain words are put together by their beginnings, longest first, so that a
+    place in a text is given up after its first letters instead of being tried for one word after another."""
+    if not all(map(PLAIN, options)):
+        return "(?:" + "|".join(options) + ")"
+
+    def tree(endings: set[str]) -> str:
+        by: dict[str, set[str]] = {}
+        for e in endings - {""}:
+            by.setdefault(e[0], set()).add(e[1:])
+        made = [re.escape(c) + tree(rest) for c, rest in sorted(by.items())]
+        return "" if not made else "(?:" + "|".join(made) + ")" + "?" * ("" in endings)
+
+    return tree(set(options))

@@ -10,16 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import first, let, one_of, only, text, trimmed, words
-from ..functions.numbers import ALONE
+from ..functions.numbers import ALONE, DIGITS
 from ..operators.addresses import electronic
 from ..operators.codes import telephone
 from ..operators.counts import ORDINAL_SCALES, ORDINALS, cardinal, decimal, ordinal
-from ..operators.dates import DECADES, date
-from ..operators.measure import measure
+from ..operators.dates import DECADES, MONTHS, date
+from ..operators.measure import NAMED, SPOKEN, measure
 from ..operators.money import money
 from ..operators.rules import RuleSet
 from ..operators.terms import ANYWHERE, PUNCTUATION, WHOLE, punctuation, term, word
-from ..operators.times import time
+from ..operators.times import PERIODS, ZONES, time
 
 MAX_SPAN = 16
 NO_RULES = RuleSet()
@@ -50,12 +50,9 @@ def tag_span(span: Column, size: Column, rules: RuleSet = NO_RULES) -> Column:
 
 # A span can only change if it holds one of these: number words, by themselves or with a scale, a decade or
 # a zone written on to them, ordinals, decades, punctuation, "point o", spelled terms, " dot ", or a term.
-_NUMBER = one_of(list(ALONE))
-_GLUED = one_of(["thousand", "million", "billion", "trillion", *DECADES, "gmt", "est", "pst", "cst", "mst", "g", "e", "p", "c", "m"])
-_TOKENS = one_of(
-    [f"{_NUMBER}{_GLUED}?", *ORDINALS, *ORDINAL_SCALES, f"[^ ]*{one_of(list(DECADES))}", *PUNCTUATION, "point oh?", *WHOLE, "w w w", "hundred.*"]
-)
-TRIGGER = f"(?: {_TOKENS} )|(?: dot )|{one_of(list(ANYWHERE))}"
+_GLUED = ["thousand", "million", "billion", "trillion", *DECADES, "gmt", "est", "pst", "cst", "mst", "g", "e", "p", "c", "m"]
+_TOKENS = one_of([*ALONE, *(w + e for w in ALONE for e in _GLUED), *ORDINALS, *ORDINAL_SCALES, *DECADES, *PUNCTUATION, "point o", "point oh", *WHOLE, "w w w"])
+TRIGGER = f"(?: (?:{_TOKENS}|hundred[^ ]*) )|(?: dot )|{one_of(list(ANYWHERE))}"
 
 
 def may_change(padded: Column, rules: RuleSet = NO_RULES) -> Column:
@@ -66,9 +63,38 @@ def may_change(padded: Column, rules: RuleSet = NO_RULES) -> Column:
     return F.lower(padded).rlike(TRIGGER) | own
 
 
-def normalize_sentence(value: Column | str, max_span: int = MAX_SPAN, rules: RuleSet = NO_RULES) -> Column:
+# Words that a span which changes can hold, if it has no term, address or rule in it: every tagger but those reads
+# all words of a span, so other words part a sentence into runs that have nothing to do with each other.
+_BASE = [*ALONE, *DIGITS, "and", "a"]
+_ZONES = ["gmt", "est", "pst", "cst", "mst", "g", "e", "p", "c", "m"]
+_ENDS = ["thousand", "million", "billion", "trillion", *DECADES, *_ZONES]
+_PARTS = "m am pm morning afternoon evening o'clock oclock"
+_PHRASES = [
+    *PUNCTUATION, *WHOLE, *NAMED, *SPOKEN, *ORDINALS, *ORDINAL_SCALES, *DECADES, *MONTHS, *ZONES, *PERIODS, "minus negative point",
+    "dollar dollars cent cents won yen yuan united states", "per square cubic kilograms force centimeter", "quarter half past to of the in",
+    "b c bc a d ad", "min mins minute minutes", "h t t p s http https w", _PARTS,
+]
+RUN_WORDS = {w for p in _PHRASES for w in p.split()} | {*_BASE} | {b + e for b in _BASE for e in _ENDS} | {b + z for b in _PARTS.split() for z in _ZONES}
+#: Such a word, in any letter case; numbers may be glued to thousand and hundred.
+RUN_WORD = f"(?iu)(?<![^ ])({one_of(list(RUN_WORDS))}|(?:thousand|hundred)[^ ]*+)(?![^ ])"
+
+
+def runs(ws: Column, rules: RuleSet = NO_RULES) -> Column:
+    """The words as an array of texts, which together are the sentence and can be written one by one: runs of words
+    that taggers read, and what stands between them; one text if a term, an address or a rule may span anything."""
+    flat = F.lower(F.array_join(ws, " "))
+    whole = flat.rlike(one_of(list(ANYWHERE))) | flat.contains(" dot ") | flat.contains(" colon slash slash ")
+    for spoken in rules.rules:
+        whole = whole | flat.contains(spoken)
+    marked = F.replace(F.regexp_replace(F.array_join(ws, " "), RUN_WORD, "\x01$1\x01"), F.lit("\x01 \x01"), F.lit(" "))
+    parts = F.split(marked, " ?\x01 ?")
+    return F.when(whole, F.array(F.array_join(ws, " "))).otherwise(F.filter(parts, lambda p: p != ""))
+
+
+def normalize_sentence(value: Column | str, max_span: int = MAX_SPAN, rules: RuleSet = NO_RULES, by_runs: bool = True) -> Column:
     """The sentence with its spans written: from the left, the longest span of at most max_span words that a
-    tagger changes. Words are joined by one blank. A max_span of 0 counts as 1."""
+    tagger changes. Words are joined by one blank. A max_span of 0 counts as 1. Without by_runs, spans are looked
+    for in the sentence as a whole, with the same result."""
     most = max(1, max_span)
     spaced = lambda part: F.concat(F.lit(" "), part, F.lit(" "))
 
@@ -100,12 +126,32 @@ def normalize_sentence(value: Column | str, max_span: int = MAX_SPAN, rules: Rul
         return F.aggregate(F.sequence(F.lit(0), F.size(ws) - 1), start, step, lambda s: F.array_join(s["out"], " "))
 
     def of(ws: Column) -> Column:
-        flat = F.array_join(ws, " ")
-        return F.when(F.size(ws) == 0, "").otherwise(let(flat, lambda f: F.when(may_change(spaced(f), rules), emitted(ws)).otherwise(f)))
+        write = lambda part: F.when(may_change(spaced(part), rules), let(F.split(part, " "), emitted)).otherwise(part)
+        parts = runs(ws, rules) if by_runs else F.array(F.array_join(ws, " "))
+        return F.when(F.size(ws) == 0, "").otherwise(F.array_join(F.transform(parts, write), " "))
 
     return let(words(_column(value)), lambda ws: only(ws.isNotNull(), of(ws)))
 
 
+def write_sentences(df: DataFrame, column: str, output: str = "written", max_span: int = MAX_SPAN, rules: RuleSet = NO_RULES) -> DataFrame:
+    """df with ``output``, what ``normalize_sentence`` makes of a column, for batches: each different run of words that may
+    change is written once, wherever and however often it stands, and dealt to all tasks.
+
+    Only rows with such a run are shuffled, by run and then by row; joins have plain exchanges on both sides, so a run
+    that many rows share is split. A column of df with the name of the output gives way."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != output.lower()]
+    gate = lambda part: may_change(F.concat(F.lit(" "), part, F.lit(" ")), rules)
+    rows = df.select(F.struct(*kept).alias("row"), let(words(F.col(f"`{column}`")), lambda ws: only(ws.isNotNull(), runs(ws, rules))).alias("parts"))
+    rows = rows.withColumn("open", F.coalesce(F.exists("parts", gate), F.lit(False)))
+    said = rows.where("open").select(F.explode("parts").alias("part")).where(gate(F.col("part"))).distinct()
+    known = said.select("part", normalize_sentence("part", max_span, rules, by_runs=False).alias("made"))
+    each = rows.where("open").withColumn("id", F.monotonically_increasing_id()).select("id", "row", F.posexplode("parts").alias("at", "part"))
+    each = each.withColumn("row", F.when(F.col("at") == 0, F.col("row"))).join(known, "part", "left")
+    made = each.groupBy("id").agg(F.first("row", ignorenulls=True).alias("row"), F.array_sort(F.collect_list(F.struct("at", F.coalesce("made", "part").alias("text")))).alias("parts"))
+    made = made.select("row.*", F.array_join(F.col("parts")["text"], " ").alias(output))
+    return rows.where("not open").select("row.*", F.array_join("parts", " ").alias(output)).union(made)
+
+
 def normalize_with_rules(df: DataFrame, column: str, rules: DataFrame, output: str) -> DataFrame:
     """df with ``output``, the written form of a column, by rules (spoken, written) that are a table.
 
@@ -116,4 +162,4 @@ def normalize_with_rules(df: DataFrame, column: str, rules: DataFrame, output: s
     return joined.withColumn(output, F.coalesce("__written", normalize(column))).drop("__spoken", "__written")
 
 
-__all__ = ["RuleSet", "may_change", "normalize", "normalize_sentence", "normalize_with_lang", "normalize_with_rules", "tag_span", "text"]
+__all__ = ["RuleSet", "may_change", "normalize", "normalize_sentence", "normalize_with_lang", "normalize_with_rules", "tag_span", "text", "write_sentences"]
