@@ -25,6 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,19 +205,17 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", scope: int
     spans = spans.select(F.col("key").alias(key), F.col("every").alias(name))
     small = common.few(spans.select(F.explode(name)), 500_000) is not None  # spans, each of a few dozen bytes
     rows = rows.join(F.broadcast(spans) if small else spans, key, "left")
+    own = [F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
     at, place = df.columns.index(text), len(df.columns)
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in df.schema.fields])
 
-    def run(batches):
+    def run(batches):  # of rows with spans, a part at a time
         for batch in batches:
-            some = np.flatnonzero(batch.column(place).is_valid().to_numpy(zero_copy_only=False)).tolist()
-            texts = batch.column(at)
-            if some:
-                values = texts.to_pylist()
-                for i in some:
-                    values[i] = blotted(values[i], [(s["start"], s["end"]) for s in batch.column(place)[i].as_py()], mark)
-                texts = pa.array(values, pa.string())
-            yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(place)], names=schema.names)
-
-    own = [F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
-    return rows.select(*own, name).mapInArrow(run, schema)
+            sizes = pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False) if batch.num_rows else np.zeros(0, np.int64)
+            for a, b in common.steps(sizes):
+                part = batch.slice(a, b - a)
+                made = [blotted(x, [(s["start"], s["end"]) for s in spans], mark) for x, spans in zip(part.column(at).to_pylist(), part.column(place).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if i == at else part.column(i) for i in range(place)], names=schema.names)
+
+    plain = rows.where(F.col(name).isNull()).select(*own)
+    return plain.union(rows.where(F.col(name).isNotNull()).select(*own, name).mapInArrow(run, schema))
