@@ -125,6 +125,18 @@ def itn_time(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", time(time_words(F.col("ts"))).alias("written"))
 
 
+_HOUR = "lpad(CAST((hour(ts) + 11) % 12 + 1 AS VARCHAR), 2, '0') || ':' || lpad(CAST(minute(ts) AS VARCHAR), 2, '0')"
+_PERIOD = "CASE WHEN hour(ts) < 12 THEN ' a.m.' ELSE ' p.m.' END || CASE event_id % 5 WHEN 0 THEN ' gmt' WHEN 1 THEN ' est' WHEN 2 THEN ' pst' WHEN 3 THEN ' cst' ELSE ' mst' END"
+
+
+@query(f"SELECT event_id, {_HOUR} || {_PERIOD} AS written FROM events")
+def itn_time_period(spark, sf_dir):
+    period = F.when(F.hour("ts") < 12, "in the morning").when(F.hour("ts") < 18, "in the afternoon").otherwise("in the evening")
+    zone = F.element_at(F.array(*[F.lit(z) for z in ("g m t", "est", "p s t", "cst", "m s t")]), (F.col("event_id") % 5 + 1).cast("int"))
+    said = F.concat_ws(" ", F.regexp_replace(time_words(F.col("ts")), " [ap] m$", ""), period, zone)
+    return _table(spark, sf_dir, "events").select("event_id", time(said).alias("written"))
+
+
 @query("SELECT c_custkey, substr(d, 1, 3) || '-' || substr(d, 4, 3) || '-' || substr(d, 7, 4) AS written FROM (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS d FROM customer)")
 def itn_telephone(spark, sf_dir):
     said = digit_words(F.lpad(F.col("c_custkey").cast("string"), 10, "0"))
