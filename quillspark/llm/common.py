@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Text bytes that one vectorised step handles; a longer document is a step of its own.
-STEP_BYTES = 2 << 20
+#: Text bytes that one vectorised step handles; a longer document is a step of its own. Bytes of a batch that a
+#: Python worker is sent, by the setting that says so, unless the session sets it.
+STEP_BYTES, BATCH_BYTES, BATCH_SETTING = 1 << 20, 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,6 +127,14 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow for rows with texts: batches are bounded by bytes, which row counts do not do."""
+    conf = df.sparkSession.conf
+    if BATCH_SETTING not in conf.getAll:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def map_text(
     df: DataFrame, text: str, fields: Sequence[T.StructField], fn: Callable[[], Callable[[pa.Array], list]], carry: Sequence[str] | None = None, step: int = STEP_BYTES
 ) -> DataFrame:
@@ -147,7 +156,7 @@ def map_text(
                 new = [x if isinstance(x, pa.Array) else pa.array(x) for x in work(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(len(keep))), *new], names=[*keep, *made])
 
-    return whole.mapInArrow(run, schema)
+    return map_batches(whole, run, schema)
 
 
 def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

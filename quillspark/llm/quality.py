@@ -109,7 +109,7 @@ def counts(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], names=["bucket", "raw", "trusted"])
 
-    rows = texts.mapInArrow(run, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+    rows = common.map_batches(texts, run, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
     out = np.zeros((2, BUCKETS), np.int64)
     for bucket, raw, trusted in rows.collect():  # as many rows as buckets, at most
         out[:, bucket] = raw, trusted

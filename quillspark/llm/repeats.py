@@ -150,7 +150,7 @@ def anchors(texts: DataFrame) -> DataFrame:
             for row, lo, n, h, r, p in runs(data, offsets):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], h.view(np.int64), r.view(np.int64), lo, n, p)], names=RUN.names)
 
-    return texts.mapInArrow(run, RUN)
+    return common.map_batches(texts, run, RUN)
 
 
 def block_rows(text: np.ndarray, lo: np.ndarray, n: np.ndarray, p: np.ndarray):
@@ -197,7 +197,7 @@ def blocks(opened: DataFrame) -> DataFrame:
                     columns = [pa.array(np.full(len(a), ids[i], np.int64)), *(pa.array(x) for x in (h[own][of], core.view(np.int64), big.view(np.int64), a + start, s + start)), windows]
                     yield pa.RecordBatch.from_arrays(columns, names=BLOCKS.names)
 
-    return opened.mapInArrow(run, BLOCKS)
+    return common.map_batches(opened, run, BLOCKS)
 
 
 def twice(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -296,4 +296,4 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             sizes = [len(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, count, parts)), pa.array(kept, pa.string())], names=names)
 
-    return plain.union(part.mapInArrow(run, schema))
+    return plain.union(common.map_batches(part, run, schema))

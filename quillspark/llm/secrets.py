@@ -218,4 +218,4 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", scope: int
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if i == at else part.column(i) for i in range(place)], names=schema.names)
 
     plain = rows.where(F.col(name).isNull()).select(*own)
-    return plain.union(rows.where(F.col(name).isNotNull()).select(*own, name).mapInArrow(run, schema))
+    return plain.union(common.map_batches(rows.where(F.col(name).isNotNull()).select(*own, name), run, schema))

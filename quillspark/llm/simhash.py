@@ -34,19 +34,20 @@ from pyspark.sql import types as T
 
 from . import common
 
-RADIUS, LEAF, FAN, CROWD = 3, 1024, 32, 64
+RADIUS, LEAF, FAN, CROWD, RUN = 3, 1024, 32, 64, 1 << 14
 
 
 def fingerprint_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Fingerprints (uint64) of documents that have counts of the hashes (uint64) each, in order."""
-    ends = np.cumsum(counts)
-    out = np.zeros(len(counts), np.uint64)
-    some = counts > 0
-    if len(hashes):
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.add.reduceat(bits, (ends - counts)[some], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * sums > counts[some, None], axis=1).view(">u8").ravel().astype(np.uint64)
-    return out
+    """Fingerprints (uint64) of documents that have counts of the hashes (uint64) each, in order; bits are counted
+    for a run of hashes at a time, so that memory does not grow with a text."""
+    sums = np.zeros((len(counts), 64), np.int32)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    for i in range(0, len(hashes), RUN):
+        own = owner[i : i + RUN]
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        bits = np.unpackbits(hashes[i : i + RUN].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        sums[own[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    return np.packbits(2 * sums > counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def shingle_hashes(text: bytes, words: int) -> list[int]:
