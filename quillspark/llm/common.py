@@ -100,6 +100,22 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def text_key(df: DataFrame, text: str, name: str, ident: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """df with a number of its texts (null as empty): their hash, and where different texts share one, which is
+    looked for by their SHA-256, another hash for all but one of them."""
+    value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    keyed, digest = df.withColumn(name, ident(value)), F.sha2(value, 256)
+    least, most = F.min(digest).alias("least"), F.max(digest).alias("most")
+    several = cut(keyed.groupBy(F.col(name).alias("key")).agg(least, most).where("least != most").select("key", "least"))
+    if several.isEmpty():
+        return keyed
+    clash = free_name(keyed, "clash")
+    small, other = few(several), F.xxhash64(digest, F.lit(1))
+    found = keyed.join((several if small is None else small).select(F.struct("key", "least").alias(clash)), F.col(name) == F.col(f"{clash}.key"), "left")
+    own = F.when(F.col(f"{clash}.least").isNotNull() & (digest != F.col(f"{clash}.least")), other).otherwise(F.col(name))
+    return found.withColumn(name, own).drop(clash)
+
+
 def carried(df: DataFrame, carry: Sequence[str] | None, made: Sequence[str]) -> list[str]:
     """The columns of df to pass on: all (None) or those named, without those that share a made column's name."""
     made_lower = {m.lower() for m in made}

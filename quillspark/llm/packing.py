@@ -161,9 +161,9 @@ def place(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.n
     for i in np.argsort(-sizes, kind="stable").tolist():
         w = int(sizes[i])
         before = counts[w:]
-        after = counts[: capacity + 1 - w].copy()  # open sequences of the gap that is left
-        after[0] = -1  # filled up: nothing is added to the sum
-        change = np.where(before > 0, after - before, capacity * len(sizes))
+        change = 2 * (counts[: capacity + 1 - w] - before) + 2  # of the sum, with a sequence moved to the gap that is left
+        change[:1] = 1 - 2 * before[:1]  # one filled up leaves the sum
+        change[before == 0] = 4 * len(sizes) + 4
         best = int(np.argmin(change)) if w <= capacity else 0
         if before[best] > 0:
             gap = best + w

@@ -273,10 +273,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
 
 def identified(df: DataFrame, doc_id: str, text: str) -> tuple[str, str, DataFrame]:
-    """Names of two columns and df with them: doc_id, and the hash of the text."""
+    """Names of two columns and df with them: doc_id, and a number of the text, by which different texts differ."""
     ident, hashed = common.free_name(df, "ident"), common.free_name(df, "hashed")
-    value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return ident, hashed, df.withColumn(ident, F.col(f"`{doc_id}`")).withColumn(hashed, F.xxhash64(value))
+    return ident, hashed, common.text_key(df, text, hashed).withColumn(ident, F.col(f"`{doc_id}`"))
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
@@ -295,10 +294,12 @@ def first_of_each(df: DataFrame, keyed: DataFrame, ident: str, hashed: str, each
     first = F.struct(F.col("ident").isNull().alias("none"), "ident", "hashed")
     best = common.cut(each.groupBy("root").agg(F.min(first).alias("best")))
     marked = each.join(best, "root").withColumn("stays", F.col("ident").eqNullSafe(F.col("best.ident")) & (F.col("hashed") == F.col("best.hashed")))
-    marked = marked.where(~F.col("stays") | (F.col("count") > 1)).select(F.col("ident").alias("i"), F.col("hashed").alias("h"), "stays")
+    mark = common.free_name(keyed, "mark")
+    marked = marked.where(~F.col("stays") | (F.col("count") > 1)).select(F.struct("ident", "hashed", "stays").alias(mark))
     marked = common.cut(marked)
     few = common.few(marked)
-    joined = keyed.join(marked if few is None else few, F.col(ident).eqNullSafe(F.col("i")) & (F.col(hashed) == F.col("h")), "left")
-    alone = joined.where(F.col("stays").isNull())
-    repeated = joined.where(F.col("stays")).dropDuplicates([ident, hashed])
+    joined = keyed.join(marked if few is None else few, F.col(ident).eqNullSafe(F.col(f"{mark}.ident")) & (F.col(hashed) == F.col(f"{mark}.hashed")), "left")
+    stays = F.col(f"{mark}.stays")
+    alone = joined.where(stays.isNull())
+    repeated = joined.where(stays).dropDuplicates([ident, hashed])
     return alone.union(repeated).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -69,3 +69,12 @@ def test_stage(spark):
     count, want = groups(rows + edited)
     got = corpus_pipeline.drop_near_copies(spark, df, "/root/testdata/sf0.001").collect()
     assert edited and len(got) == count and sorted(r.doc_id for r in got) == sorted(want.values())
+
+
+def test_clashing_columns(spark):
+    """Columns that are called as the operator's own are passed on, and equal rows count as one."""
+    names = "h i stays ident hashed tokens fp n bins key root mark a b at token clash count".split()
+    rows = [(d, t, *(f"{c}{d}" for c in names)) for d, t in ((1, "one two three four five six"), (2, "one two three four five six"), (3, "other words"), (None, None))]
+    df = spark.createDataFrame(rows + rows[2:3], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = sorted(map(tuple, nearcopies.one_of_each(df).collect()), key=repr)
+    assert got == sorted((rows[0], rows[2], rows[3]), key=repr)

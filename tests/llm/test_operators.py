@@ -431,7 +431,7 @@ def test_simhash_index_made_anew_is_the_same(spark):
 
 def test_blocks_grow_with_the_corpus():
     assert [simhash.blocks_for(n, 3) for n in (0, 10**5, 10**7, 10**10)] == [4, 4, 5, 6]
-    assert simhash.blocks_for(10**9, 1) >= 2 and simhash.blocks_for(10**12, 7) == 8
+    assert simhash.blocks_for(10**9, 1) >= 2 and simhash.blocks_for(10**12, 7) == 9
 
 
 def test_packing_survives_coalescing(spark):
@@ -445,3 +445,25 @@ def test_packing_survives_coalescing(spark):
             sums[r.sequence_id] = sums.get(r.sequence_id, 0) + r.length
         assert max(sums.values()) <= 4096
     assert listed(packed) == listed(packed.coalesce(1))
+
+
+def test_packing_places_where_squares_are_least():
+    """Every step of the placement against all open sequences that have room."""
+    r = np.random.default_rng(1)
+    squares = lambda levels, cap: sum(levels.count(x) ** 2 for x in set(levels) if x < cap)
+    for _ in range(60):
+        cap, sizes, level = 30, r.integers(1, 31, 50), {}
+        sequence, offset = packing.place(sizes, cap)
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            w, k = int(sizes[i]), int(sequence[i])
+            after = {s: squares(list((level | {s: v + w}).values()), cap) for s, v in level.items() if v + w <= cap}
+            assert (after[k] == min(after.values())) if after else k not in level
+            assert offset[i] == level.get(k, 0)
+            level[k] = level.get(k, 0) + w
+
+
+def test_texts_of_one_hash_have_different_keys(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["ab", "ba", "ab", "c", None, ""])], "key int, text string").repartition(3)
+    ident = lambda text: F.length(text).cast("long")
+    got = {r.key: r.number for r in common.text_key(df, "text", "number", ident).collect()}
+    assert len(got) == 6 and got[0] == got[2] != got[1] and got[4] == got[5] and len({got[0], got[1], got[3], got[4]}) == 4
