@@ -66,18 +66,23 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written as Parquet beside the checkpoints and read again: smaller on disk than a checkpoint, and
-    later steps read only the columns that they use. The folder goes when the program ends."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder's path beside the checkpoints. What is there goes when the program ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         cut(spark.range(0))
         root = spark.sparkContext.getCheckpointDir()
     path = f"{root}/quillspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet beside the checkpoints and read again: smaller on disk than a checkpoint, and
+    later steps read only the columns that they use."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _forget(spark: SparkSession, path: str) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, licenses, mixing, packing, quality, repeats, secrets, simhash, tokens, toxicity
+from . import embeddings, idfiles, licenses, merkle, mixing, packing, periods, quality, repeats, secrets, simhash, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,13 +54,26 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_mix_sources, op2_quality_rules, op3_token_counts, op4_embedding_near_dedup, op5_remove_repeats,
         op6_scan_licenses, op7_toxicity, op8_pack_sequences, op9_scan_secrets, op10_simhash_near_dedup,
+        op11_merkle_manifest, op12_token_files, op13_periodic_runs,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op4_embedding_near_dedup": embeddings.SQL, "op6_scan_licenses": licenses.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op4_embedding_near_dedup": embeddings.SQL, "op6_scan_licenses": licenses.SQL, "op11_merkle_manifest": merkle.SQL}
