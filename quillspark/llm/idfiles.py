@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,15 +124,21 @@ BLOCKS = T.StructType([
 ])
 
 
-def ids_of(df: DataFrame, path: str, text: str, key: str, end_id: int) -> DataFrame:
-    """(key, ids, hash): the ids of every text and the end id, as bytes of unsigned 32-bit integers."""
+def id_kind(path: str, end_id: int) -> str:
+    """The integers in which ids are kept until they are coded: of 16 bits, or of 32 for large vocabularies."""
+    most = max(end_id, tokenizers.Tokenizer.from_file(path).get_vocab_size(True) - 1)
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def ids_of(df: DataFrame, path: str, text: str, key: str, end_id: int, kind: str) -> DataFrame:
+    """(key, ids, hash): the ids of every text and the end id, as bytes of integers of a kind."""
 
     def make():
         def work(texts: pa.Array) -> list:
             ids, counts = packing.encode(path, texts.cast(pa.binary()).to_pylist())
             ends = np.cumsum(counts)
-            whole = np.insert(ids.astype("<u4"), ends, end_id)
-            offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * 4
+            whole = np.insert(ids.astype(kind), ends, end_id)
+            offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * whole.itemsize
             return [pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(whole)]).cast(pa.binary())]
 
         return work
@@ -140,7 +147,7 @@ def ids_of(df: DataFrame, path: str, text: str, key: str, end_id: int) -> DataFr
     return common.map_text(rows, "text", [T.StructField("ids", T.BinaryType())], make, ["key"]).withColumn("hash", F.xxhash64("ids"))
 
 
-def id_counts(rows: DataFrame) -> np.ndarray:
+def id_counts(rows: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs in the ids of rows; by position, as long as the largest id needs."""
 
     def run(batches):
@@ -148,7 +155,7 @@ def id_counts(rows: DataFrame) -> np.ndarray:
         for batch in batches:
             data = batch.column(0).cast(pa.large_binary())
             for a, b in common.steps(np.diff(np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1])):
-                some = np.bincount(np.frombuffer(b"".join(data[a:b].to_pylist()), "<u4"))
+                some = np.bincount(np.frombuffer(b"".join(data[a:b].to_pylist()), kind))
                 if len(some) > len(total):
                     total = np.concatenate([total, np.zeros(len(some) - len(total), np.int64)])
                 total[: len(some)] += some
@@ -165,8 +172,9 @@ def id_counts(rows: DataFrame) -> np.ndarray:
 def write_ids(df: DataFrame, folder: str, tokenizer: str, text: str = "text", key: str = "doc_id", end_id: int = END_ID, limit: int = LIMIT, block: int = BLOCK) -> None:
     """Writes the ids of the texts of df to a folder that all executors reach."""
     spark = df.sparkSession
-    rows = common.written(ids_of(df, tokenizer, text, key, end_id))
-    lengths = code_lengths(id_counts(rows), limit)
+    kind = id_kind(tokenizer, end_id)
+    rows = common.written(ids_of(df, tokenizer, text, key, end_id, kind))
+    lengths = code_lengths(id_counts(rows, kind), limit)
     codes, _ = canonical(lengths)
     spark.createDataFrame([(lengths.tobytes(), limit)], "lengths binary, code_limit int").coalesce(1).write.parquet(f"{folder}/codes")
     held = spark.sparkContext.broadcast((codes, lengths))  # one entry a token of the vocabulary
@@ -174,13 +182,13 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, text: str = "text", ke
     ordered = rows.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions("key", "hash", "ids", "salt")
 
     def run(batches):
-        codes, lengths = held.value
+        (codes, lengths), size = held.value, np.dtype(kind).itemsize
         start, keys, parts, total = 0, [], [], 0
 
         def made(shard):
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.frombuffer(b"".join(parts), kind)
             bits, points = encoded(ids, codes, lengths)
-            return [shard], [start], [keys], [[len(x) // 4 for x in parts]], [bits], [points]
+            return [shard], [start], [keys], [[len(x) // size for x in parts]], [bits], [points]
 
         shard = None
         for batch in batches:
@@ -188,7 +196,7 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, text: str = "text", ke
             for k, ids in zip(batch.column(1).to_pylist(), batch.column(2)):
                 keys.append(k)
                 parts.append(ids.as_py())
-                total += len(parts[-1]) // 4
+                total += len(parts[-1]) // size
                 if total >= block:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f) for x, f in zip(made(shard), KINDS)], names=BLOCKS.names)
                     start, keys, parts, total = start + total, [], [], 0

@@ -7,8 +7,8 @@ number of open sequences with that gap becomes smallest; a new sequence is opene
 has room, which keeps sequences few. A group wastes about one sequence in thousands; its size is
 fixed, so more rows mean more groups, not larger ones.
 
-Encoding: white space parts words that no token spans (the tokenizer drops it), so each distinct word
-of a run of texts is encoded once, by the library, and its ids are put together again per text.
+Encoding: white space parts words that no token spans (the tokenizer drops it), so words are encoded by the library
+one by one, those that come again are remembered, and their ids are put together again per text.
 
 Nulls: a null text is an empty one, which is its end token alone. Rows of equal doc_id are packed each.
 """
@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,95 +34,86 @@ CAPACITY, END_ID, GROUP, STEP = 4096, 1, 20_000, 4 << 20
 PIECE = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
-PLAIN = re.compile(rb"([A-Za-z]+)([.,!?;:]*)").fullmatch
+#: Words that need no more of the tokenizer than its model: letters of which lower case and composition are
+#: plain, digits, which stand by themselves, and ASCII punctuation other than apostrophes, with no mark of a special token.
+PLAIN = re.compile(r"(?!.*<\|)[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+").fullmatch
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 #: Words by which a tokenizer is tried: whether it makes of plain words what its model makes of their parts.
-PROBES = [w + m for w in (b"a", b"Z", b"the", b"Hello", b"UPPER", b"mixedCase", b"unbelievableness") for m in (b"", b".", b",", b"!", b"?", b";", b":", b"...", b"?!")]
+PROBES = [w + m for w in ("a", "Z", "the", "Hello", "UPPER", "mixedCase", "unbelievableness", "ÉCOLE", "straße", "x1", "2024", "a1b22", *LETTERS) for m in ("", ".", ",", "!", "?", ";", ":", "...", "?!", "-x", ")", "#*$")]
+#: Most words and parts of words that are kept, in a first and a second run of such as many.
+KEPT = 150_000
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Stems(dict):
-    """Letters or punctuation -> ids, as the tokenizer's model alone gives them."""
+    """Letters, a digit or punctuation -> ids as bytes, as the tokenizer's model alone gives them."""
 
-    def __init__(self, model):
-        self.model = model
+    def __init__(self, tokenizer):
+        self.model = tokenizer.model
+        split = tokenizer.pre_tokenizer.pre_tokenize_str if tokenizer.pre_tokenizer is not None else lambda x: [(x, None)]
+        self.letters = {ord(c): "".join(part for part, _ in split(c)) for c in LETTERS}  # as the model sees them
 
-    def __missing__(self, stem: bytes) -> list[int]:
-        self[stem] = ids = [t.id for t in self.model.tokenize(stem.decode())]
+    def __missing__(self, stem: str) -> bytes:
+        own = stem if stem.isascii() else stem.translate(self.letters)
+        self[stem] = ids = pack_ids([t.id for t in self.model.tokenize(own)])
         return ids
 
 
 class Words(dict):
-    """word (bytes without white space) -> its number, by first appearance, and the ids of all words."""
+    """word (bytes without white space) -> its ids as bytes of unsigned 32-bit integers.
 
-    def __init__(self, path: str, most: int):
+    A plain word is what the tokenizer's model makes of its parts, if none of the tokenizer's other steps changes them,
+    as probes tell when it is loaded. All other words, and with other tokenizers all words, go through the
+    whole tokenizer."""
+
+    def __init__(self, path: str, kept: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
-        self.tokenizer, self.most = tokenizers.Tokenizer.from_file(path), most
-        self.stems = Stems(self.tokenizer.model)
-        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        parts = [self.stems[m[1].lower()] + (self.stems[m[2]] if m[2] else []) for m in map(PLAIN, PROBES)]
-        self.short = parts == [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in PROBES]
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-    def learn(self) -> None:
-        """Encodes the words that are new since the last call.
-
-        One of ASCII letters, with punctuation after them or without, is what the tokenizer's model makes
-        of its letters in lower case, and of its punctuation, if none of the tokenizer's other steps changes
-        them, as probes tell when it is loaded. All other words, and with other tokenizers all words, go
-        through the whole tokenizer."""
-        new = list(islice(self, len(self.ends) - 1, None))
-        ids: list = [None] * len(new)
-        other = []
-        for i, w in enumerate(new):
-            if self.short and w.isalpha():  # ASCII letters, as w is bytes
-                ids[i] = self.stems[w.lower()]
-            elif self.short and (found := PLAIN(w)):
-                stem, mark = found.groups()
-                ids[i] = self.stems[stem.lower()] + self.stems[mark] if mark else self.stems[stem.lower()]
-            else:
-                other.append(i)
-        for i in range(0, len(other), 20_000):
-            some = other[i : i + 20_000]
-            got = self.tokenizer.encode([new[k].decode() for k in some], is_pretokenized=True, add_special_tokens=False)
-            ends = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some) + 1)).tolist()
-            flat = got.ids
-            for k, a, b in zip(some, ends, ends[1:]):
-                ids[k] = flat[a:b]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.tokenizer, self.kept = tokenizers.Tokenizer.from_file(path), kept
+        self.stems, self.short = Stems(self.tokenizer), True
+        self.short = all(self[w.encode()] == self.whole(w) for w in PROBES)
+        self.clear()
+
+    def whole(self, word: str) -> bytes:
+        return pack_ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.short and PLAIN(text):
+            text, stems = text.lower(), self.stems
+            ids = stems[text] if text.isalpha() else b"".join([stems[x] for x in PARTS(text)])
+        else:
+            ids = self.whole(text)
+        self[word] = ids
+        return ids
 
     def trim(self) -> None:
         """Forgets all but the first words, among which are the frequent ones, so that memory is bounded."""
         for table in (self, self.stems):
-            for word in list(islice(table, self.most, None)):
-                del table[word]
-        self.ends = self.ends[: len(self) + 1]
-        self.ids = self.ids[: self.ends[-1]]
+            if len(table) > 2 * self.kept:
+                for word in list(islice(table, self.kept, None)):
+                    del table[word]
 
 
 @lru_cache(maxsize=2)
-def words_of(path: str, most: int = 400_000) -> Words:
-    return Words(path, most)
+def words_of(path: str, kept: int = KEPT) -> Words:
+    return Words(path, kept)
 
 
 def encode(path: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, counts): the tokens of the texts one after another, and how many each has."""
     words = words_of(path)
-    per_text = [[words[w] for w in x.split()] for x in texts]
-    sizes = np.fromiter(map(len, per_text), np.int64, len(texts))
-    at = np.fromiter(chain.from_iterable(per_text), np.int64, int(sizes.sum()))
-    words.learn()
-    starts, each = words.ends[at], words.ends[at + 1] - words.ends[at]
-    ends = np.cumsum(each)
-    place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - each), each)
-    out = words.ids[place], common.per_row(each, np.concatenate([[0], np.cumsum(sizes)]))
-    words.trim()
-    return out
+    made = []
+    for text in texts:
+        made.append(b"".join([words[w] for w in text.split()]))
+        words.trim()
+    counts = np.fromiter(map(len, made), np.int64, len(made)) // 4
+    return np.frombuffer(b"".join(made), "<u4"), counts
 
 
 def pieces(df: DataFrame, path: str, text: str = "text", carry=None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -132,7 +124,7 @@ def pieces(df: DataFrame, path: str, text: str = "text", carry=None, capacity: i
             ids, counts = encode(path, texts.cast(pa.binary()).to_pylist())
             end, rows, sizes, at = np.array([end_id], "<u4"), [], [], 0
             for n in counts.tolist():
-                own = np.concatenate([ids[at : at + n].astype("<u4"), end])
+                own = np.concatenate([ids[at : at + n], end])
                 at += n
                 cuts = range(0, n + 1, capacity)
                 sizes.append(len(cuts))

@@ -467,3 +467,19 @@ def test_texts_of_one_hash_have_different_keys(spark):
     ident = lambda text: F.length(text).cast("long")
     got = {r.key: r.number for r in common.text_key(df, "text", "number", ident).collect()}
     assert len(got) == 6 and got[0] == got[2] != got[1] and got[4] == got[5] and len({got[0], got[1], got[3], got[4]}) == 4
+
+
+def test_plain_words_are_what_the_whole_tokenizer_makes_of_them():
+    """Words of every kind, encoded by their parts and remembered or not, against the library."""
+    import tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, signs = tokenizers.Tokenizer.from_file(path), "aZé\u0301ßÉÿŸıİΣσςµªº09²½x'\"-–.,!?…#<|>[]日本\u200b\xa0"
+    words = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 9))) for _ in range(4000)] + ["<|endoftext|>", "a<|endoftext|>b", "it's", "x'll", "'s"]
+    known = packing.Words(path, 500)
+    assert known.short
+    for w in words + words[:1000]:
+        for part in w.encode().split():
+            assert list(np.frombuffer(known[part], "<u4")) == tokenizer.encode(part.decode(), add_special_tokens=False).ids, w
+        known.trim()
+    assert len(known) <= 1000
