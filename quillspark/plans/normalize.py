@@ -152,6 +152,13 @@ def write_sentences(df: DataFrame, column: str, output: str = "written", max_spa
     return rows.where("not open").select("row.*", F.array_join("parts", " ").alias(output)).union(made)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if it is read in fewer partitions than there are: taggers take far longer than a row's
+    exchange. A table of many files or row groups is left as it is, without an exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def normalize_with_rules(df: DataFrame, column: str, rules: DataFrame, output: str) -> DataFrame:
     """df with ``output``, the written form of a column, by rules (spoken, written) that are a table.
 
@@ -162,4 +169,4 @@ def normalize_with_rules(df: DataFrame, column: str, rules: DataFrame, output: s
     return joined.withColumn(output, F.coalesce("__written", normalize(column))).drop("__spoken", "__written")
 
 
-__all__ = ["RuleSet", "may_change", "normalize", "normalize_sentence", "normalize_with_lang", "normalize_with_rules", "tag_span", "text", "write_sentences"]
+__all__ = ["RuleSet", "may_change", "normalize", "normalize_sentence", "normalize_with_lang", "normalize_with_rules", "spread", "tag_span", "text", "write_sentences"]

@@ -18,7 +18,7 @@ from ..operators.rules import RuleSet
 from ..operators.terms import PUNCTUATION, punctuation, term, word
 from ..operators.times import time
 from ..sources.verbalize import below_hundred, cardinal_words, date_words, digit_words, ordinal_words, time_words, year_words
-from .normalize import normalize, normalize_sentence, normalize_with_lang, normalize_with_rules
+from .normalize import normalize, normalize_sentence, normalize_with_lang, normalize_with_rules, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +35,7 @@ def query(sql: str):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey = 0 THEN 'zero' ELSE CAST(l_orderkey AS VARCHAR) END AS written FROM lineitem")
