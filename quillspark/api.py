@@ -12,10 +12,10 @@ from .operators.counts import cardinal, decimal, ordinal
 from .operators.dates import date
 from .operators.measure import measure
 from .operators.money import money
-from .operators.rules import RuleSet
+from .operators.rules import RowRules, RuleSet, rule_versions, rules_in_force
 from .operators.terms import punctuation, term, word
 from .operators.times import time
-from .plans.normalize import normalize, normalize_sentence, normalize_with_lang, normalize_with_rules
+from .plans.normalize import normalize, normalize_by_versions, normalize_sentence, normalize_with_lang, normalize_with_rules, write_sentences_with_rules
 from .streaming.normalize_stream import with_written
 
 TAGGERS = {
@@ -29,4 +29,7 @@ def normalized_view(df: DataFrame, column: str, view: str, output: str = "writte
     with_written(df, column, output, **options).createOrReplaceTempView(view)
 
 
-__all__ = ["TAGGERS", "RuleSet", "__version__", "normalize", "normalize_sentence", "normalize_with_lang", "normalize_with_rules", "normalized_view", "number", "with_written"]
+__all__ = [
+    "TAGGERS", "RowRules", "RuleSet", "__version__", "normalize", "normalize_by_versions", "normalize_sentence", "normalize_with_lang", "normalize_with_rules",
+    "normalized_view", "number", "rule_versions", "rules_in_force", "with_written", "write_sentences_with_rules",
+]

@@ -38,12 +38,12 @@ def _in(options) -> str:
 #: SQL for a lambda function from a text to the number that its words say. It is one text, and not columns, as the
 #: taggers use it in many places: Spark reads it in a moment, where putting it together from columns takes far longer.
 #: Small numbers add up; hundred multiplies what has come; a larger scale closes a group.
-_KERNEL = f"""
+_KERNEL = rf"""
 said -> transform(array(array_join(filter(split(lower(said), r'(?U)\s+'), w -> w NOT IN ('', 'and', 'a')), ' ')), s ->
   CASE WHEN s RLIKE r'{NUMBER}' THEN
     transform(array(regexp_extract(s, r'^((?:{HUNDREDS}(?: |$))*)', 1)), lead ->
       try_add(
-        aggregate(filter(split(lead, ' '), w -> w NOT IN ('', 'hundred')), 0BD, (sum, w) -> CAST(sum + CAST(try_element_at({_table(SMALL)}, w) AS INT) * 100 AS DECIMAL(38, 0))),
+        aggregate(filter(split(lead, ' '), w -> w NOT IN ('', 'hundred')), CAST(0 AS DECIMAL(38, 0)), (sum, w) -> CAST(sum + CAST(try_element_at({_table(SMALL)}, w) AS INT) * 100 AS DECIMAL(38, 0))),
         aggregate(filter(split(substr(s, length(lead) + 1), ' '), w -> w <> ''), named_struct('done', CAST(0 AS DECIMAL(38, 0)), 'now', CAST(0 AS DECIMAL(38, 0))), (state, w) ->
           CASE WHEN w = 'hundred' THEN named_struct('done', state.done, 'now', CAST(try_multiply(IF(state.now = 0, CAST(1 AS DECIMAL(38, 0)), state.now), 100BD) AS DECIMAL(38, 0)))
                WHEN w IN {_in(SCALES)} THEN named_struct('done', CAST(try_add(state.done, CAST(try_multiply(IF(state.now = 0, CAST(1 AS DECIMAL(38, 0)), state.now),
@@ -51,7 +51,7 @@ said -> transform(array(array_join(filter(split(lower(said), r'(?U)\s+'), w -> w
                ELSE named_struct('done', state.done, 'now', CAST(state.now + CAST(try_element_at({_table(SMALL)}, w) AS INT) AS DECIMAL(38, 0))) END,
           state -> CAST(try_add(state.done, state.now) AS DECIMAL(38, 0)))))[0]
   END)[0]
-""".replace("0BD, (sum", "CAST(0 AS DECIMAL(38, 0)), (sum")
+"""
 
 
 def number(value: Column) -> Column:

@@ -50,7 +50,7 @@ def _with_year(original: Column, low: Column) -> Column:
     """A quarter of a year, a day of a month, or a year alone: what comes before the year, and the year.
 
     Their beginnings exclude each other, so the year is read in one place."""
-    quarter = f"^({'|'.join(QUARTERS)}) quarter of (.*)$"
+    quarter = f"(?s)^({'|'.join(QUARTERS)}) quarter of (.*)$"
     part = lambda ahead, year: F.struct(ahead.alias("ahead"), year.alias("year"))
     rest = F.substr(low, F.lit(5))
 

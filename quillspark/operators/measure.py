@@ -45,7 +45,7 @@ for _written, _ways in NAMES.items():
     for _said in _ways:
         NAMED.setdefault(_said, _written)
 
-SUFFIX = f"^(.*?) ({one_of(sorted(SPOKEN, key=len, reverse=True))})$"
+SUFFIX = f"(?s)^(.*?) ({one_of(sorted(SPOKEN, key=len, reverse=True))})$"
 
 
 def unit(name: Column) -> Column:
@@ -69,8 +69,8 @@ def counted(value: Column) -> Column:
     def of(sign: Column, rest: Column) -> Column:
         mark = F.when(rest.contains(" square "), " square ").when(rest.contains(" cubic "), " cubic ")
         # the last such word counts
-        head = F.when(mark == " square ", F.regexp_extract(rest, "^(.*) square ", 1)).otherwise(F.regexp_extract(rest, "^(.*) cubic ", 1))
-        name = F.when(mark == " square ", unit(F.regexp_replace(rest, "^.* square ", ""))).otherwise(unit(F.regexp_replace(rest, "^.* cubic ", "")))
+        head = F.when(mark == " square ", F.regexp_extract(rest, "(?s)^(.*) square ", 1)).otherwise(F.regexp_extract(rest, "(?s)^(.*) cubic ", 1))
+        name = F.when(mark == " square ", unit(F.regexp_replace(rest, "(?s)^.* square ", ""))).otherwise(unit(F.regexp_replace(rest, "(?s)^.* cubic ", "")))
         power = let(name, lambda u: F.when(mark == " cubic ", put(u, "³")).when(among(u, "ft", "mi"), put("sq ", u)).otherwise(put(u, "²")))
         return (
             F.when(rest.endswith(" miles per hour"), _part(sign, F.regexp_replace(rest, " miles per hour$", ""), F.lit("mph")))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import look_up, trimmed
+from ..functions.columns import joined, look_up, text, trimmed, words
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,13 @@ class RuleSet:
     def tag(self, value: Column) -> Column:
         return look_up(self.rules, trimmed(F.lower(value))) if self.rules else F.lit(None).cast("string")
 
+    def within(self, low: Column) -> Column:
+        """Whether a text, in lower case, holds the spoken text of a rule anywhere."""
+        found = F.lit(False)
+        for spoken in self.rules:
+            found = found | low.contains(spoken)
+        return found
+
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.rules.items()), "spoken string, written string")
 
@@ -46,3 +53,65 @@ class RuleSet:
         for spoken, written in pairs:
             made = made.add(spoken, written)
         return made
+
+
+@dataclass(frozen=True)
+class RowRules:
+    """Rules that a column has for each row: a map of spoken texts to written ones, null for none."""
+
+    found: Column
+
+    def tag(self, value: Column) -> Column:
+        return F.try_element_at(self.found, trimmed(F.lower(value)))
+
+    def within(self, low: Column) -> Column:
+        return F.coalesce(F.exists(F.map_keys(self.found), lambda spoken: low.contains(spoken)), F.lit(False))
+
+
+def distinct_rules(rules: DataFrame) -> DataFrame:
+    """(spoken, written): rules with spoken texts in lower case, of those for one text that with the greatest written one."""
+    return rules.groupBy(F.lower("spoken").alias("spoken")).agg(F.max("written").alias("written"))
+
+
+def rules_within(texts: DataFrame, column: str, rules: DataFrame, most: int, few: int = 200_000) -> DataFrame:
+    """(said, found): for each different text of a column in which rules apply, the map of these, for ``RowRules``.
+
+    Runs of one to ``most`` words of a text, of the sizes that rules have, are joined with the rules by equality, so the
+    plan does not grow with them. Up to ``few`` rules, counted, are broadcast; more are joined by an exchange."""
+    own = distinct_rules(rules)
+    own = own.where(F.col("spoken") == joined(words(F.col("spoken")))).withColumn("size", F.size(words(F.col("spoken"))))
+    sizes = {r.size: r.n for r in own.where(F.col("size").between(1, most)).groupBy("size").agg(F.count("*").alias("n")).collect()}  # most rows at most
+    said = texts.select(F.col(f"`{column}`").alias("said")).where("said is not null").distinct().withColumn("ws", words(F.lower("said")))
+
+    def runs(n: int) -> Column:
+        return F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda i: joined(F.slice("ws", i + 1, text(n)))))
+
+    every = F.array_distinct(F.flatten(F.array_compact(F.array(*[runs(n) for n in sorted(sizes)])))) if sizes else F.array().cast("array<string>")
+    pairs = said.select("said", F.explode(every).alias("spoken")).join(F.broadcast(own) if sum(sizes.values()) <= few else own, "spoken")
+    return pairs.groupBy("said").agg(F.map_from_entries(F.collect_list(F.struct("spoken", "written"))).alias("found"))
+
+
+# A log of changes to a set of rules: (seq, op, spoken, written) with a different seq in each row, and op one of
+# add (which replaces), remove, and clear (of all rules; spoken is null).
+
+
+def rules_in_force(log: DataFrame) -> DataFrame:
+    """(spoken, written): the rules after all changes of a log. The last change of a spoken text counts, if it is not before
+    the last clear; one grouped maximum, with partial sums, and one row that is broadcast."""
+    changes = log.select("seq", "op", F.lower("spoken").alias("spoken"), "written")
+    cleared = changes.where("op = 'clear'").agg(F.max("seq").alias("cleared")).withColumn("all", F.lit(1))
+    last = changes.where("op in ('add', 'remove') and spoken is not null").groupBy("spoken").agg(F.max_by(F.struct("seq", "op", "written"), "seq").alias("last"))
+    kept = last.withColumn("all", F.lit(1)).join(F.broadcast(cleared), "all", "left").where("last.op = 'add' and (cleared is null or last.seq > cleared)")
+    return kept.select("spoken", "last.written")
+
+
+def rule_versions(log: DataFrame) -> DataFrame:
+    """(spoken, written, since, until): each rule that a log adds, in force from its seq until, and not at, the next change of
+    its spoken text or the next clear; until is null if there is none."""
+    changes = log.select("seq", "op", F.lower("spoken").alias("spoken"), "written")
+    clears = changes.where("op = 'clear'").agg(F.array_sort(F.collect_list("seq")).alias("clears")).withColumn("all", F.lit(1))  # clears are few
+    following = F.lead("seq").over(Window.partitionBy("spoken").orderBy("seq"))
+    each = changes.where("op in ('add', 'remove') and spoken is not null").withColumn("next", following).where("op = 'add'").withColumn("all", F.lit(1))
+    each = each.join(F.broadcast(clears), "all", "left")
+    until = F.least("next", F.array_min(F.filter("clears", lambda c: c > F.col("seq"))))
+    return each.select("spoken", "written", F.col("seq").alias("since"), until.alias("until"))

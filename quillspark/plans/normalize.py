@@ -17,7 +17,7 @@ from ..operators.counts import ORDINAL_SCALES, ORDINALS, cardinal, decimal, ordi
 from ..operators.dates import DECADES, MONTHS, date
 from ..operators.measure import NAMED, SPOKEN, measure
 from ..operators.money import money
-from ..operators.rules import RuleSet
+from ..operators.rules import RowRules, RuleSet, distinct_rules, rules_within
 from ..operators.terms import ANYWHERE, PUNCTUATION, WHOLE, punctuation, term, word
 from ..operators.times import PERIODS, ZONES, time
 
@@ -57,10 +57,7 @@ TRIGGER = f"(?: (?:{_TOKENS}|hundred[^ ]*) )|(?: dot )|{one_of(list(ANYWHERE))}"
 
 def may_change(padded: Column, rules: RuleSet = NO_RULES) -> Column:
     """Whether text with a blank on either side holds anything that a tagger could change."""
-    own = F.lit(False)
-    for spoken in rules.rules:
-        own = own | F.lower(padded).contains(spoken)
-    return F.lower(padded).rlike(TRIGGER) | own
+    return F.lower(padded).rlike(TRIGGER) | rules.within(F.lower(padded))
 
 
 # Words that a span which changes can hold, if it has no term, address or rule in it: every tagger but those reads
@@ -83,9 +80,7 @@ def runs(ws: Column, rules: RuleSet = NO_RULES) -> Column:
     """The words as an array of texts, which together are the sentence and can be written one by one: runs of words
     that taggers read, and what stands between them; one text if a term, an address or a rule may span anything."""
     flat = F.lower(F.array_join(ws, " "))
-    whole = flat.rlike(one_of(list(ANYWHERE))) | flat.contains(" dot ") | flat.contains(" colon slash slash ")
-    for spoken in rules.rules:
-        whole = whole | flat.contains(spoken)
+    whole = flat.rlike(one_of(list(ANYWHERE))) | flat.contains(" dot ") | flat.contains(" colon slash slash ") | rules.within(flat)
     marked = F.replace(F.regexp_replace(F.array_join(ws, " "), RUN_WORD, "\x01$1\x01"), F.lit("\x01 \x01"), F.lit(" "))
     parts = F.split(marked, " ?\x01 ?")
     return F.when(whole, F.array(F.array_join(ws, " "))).otherwise(F.filter(parts, lambda p: p != ""))
@@ -164,9 +159,30 @@ def normalize_with_rules(df: DataFrame, column: str, rules: DataFrame, output: s
 
     Spoken texts are compared in lower case; of rules for one text, the greatest written one counts. The
     table is joined by text, so it may be of any size."""
-    own = rules.groupBy(F.lower("spoken").alias("__spoken")).agg(F.max("written").alias("__written"))
+    own = distinct_rules(rules).toDF("__spoken", "__written")
     joined = df.withColumn("__spoken", trimmed(F.lower(df[column]))).join(own, "__spoken", "left")
     return joined.withColumn(output, F.coalesce("__written", normalize(column))).drop("__spoken", "__written")
 
 
-__all__ = ["RuleSet", "may_change", "normalize", "normalize_sentence", "normalize_with_lang", "normalize_with_rules", "spread", "tag_span", "text", "write_sentences"]
+def write_sentences_with_rules(df: DataFrame, column: str, rules: DataFrame, output: str = "written", max_span: int = MAX_SPAN) -> DataFrame:
+    """df with ``output``, what ``normalize_sentence`` makes of a column by rules (spoken, written) that are a table of any
+    size. As there, rules come before the taggers for a span, and the longest span from the left counts; rules
+    of more than max_span words, or with other white space than one blank between words, are never met."""
+    found = rules_within(df, column, rules, max(1, max_span)).withColumnsRenamed({"said": "__said", "found": "__found"})
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != output.lower()]
+    both = df.join(found, F.col(f"`{column}`") == F.col("__said"), "left")
+    return both.select(*kept, normalize_sentence(F.col(f"`{column}`"), max_span, RowRules(F.col("__found"))).alias(output))
+
+
+def normalize_by_versions(df: DataFrame, column: str, at: str, versions: DataFrame, output: str = "written") -> DataFrame:
+    """df, batch or stream, with ``output``, the written form of a column by the rules in force at each row's own
+    time: versions (spoken, written, since, until), as ``rule_versions`` makes them of a log, have one at most."""
+    own = versions.select(*(F.col(c).alias(f"__{c}") for c in ("spoken", "written", "since", "until")))
+    time_of = F.col(f"`{at}`")
+    valid = (time_of >= F.col("__since")) & (F.col("__until").isNull() | (time_of < F.col("__until")))
+    both = df.withColumn("__key", trimmed(F.lower(F.col(f"`{column}`")))).join(own, (F.col("__key") == F.col("__spoken")) & valid, "left")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != output.lower()]
+    return both.select(*kept, F.coalesce("__written", normalize(F.col(f"`{column}`"))).alias(output))
+
+
+__all__ = ["RowRules", "RuleSet", "may_change", "normalize", "normalize_by_versions", "normalize_sentence", "normalize_with_lang", "normalize_with_rules", "spread", "tag_span", "text", "write_sentences", "write_sentences_with_rules"]

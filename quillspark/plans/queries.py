@@ -1,5 +1,5 @@
 """Queries over the tables: numbers are put in words, normalized, and compared with DuckDB's own formatting
-of the number, which shares nothing with the taggers."""
+of the number, which shares nothing with the taggers: tables that it needs are written out here again."""
 
 from __future__ import annotations
 
@@ -12,13 +12,13 @@ from ..operators.addresses import electronic
 from ..operators.codes import telephone
 from ..operators.counts import cardinal, decimal, ordinal
 from ..operators.dates import date
-from ..operators.measure import SPOKEN, measure
+from ..operators.measure import measure
 from ..operators.money import money
-from ..operators.rules import RuleSet
-from ..operators.terms import PUNCTUATION, punctuation, term, word
+from ..operators.rules import RuleSet, rule_versions, rules_in_force
+from ..operators.terms import punctuation, term, word
 from ..operators.times import time
 from ..sources.verbalize import below_hundred, cardinal_words, date_words, digit_words, ordinal_words, time_words, year_words
-from .normalize import normalize, normalize_sentence, normalize_with_lang, normalize_with_rules, spread
+from .normalize import normalize, normalize_by_versions, normalize_sentence, normalize_with_lang, normalize_with_rules, spread, write_sentences_with_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,14 +91,24 @@ def itn_money_scale(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", say(" billion dollars").alias("large"), say(" million won").alias("won"), say(" trillion yuan").alias("yuan"))
 
 
-_UNITS = [(said, written) for said, written in SPOKEN.items() if not said.startswith(("square", "cubic"))]
-_UNIT_CASE = "CASE p_partkey % {n} {whens} END".format(n=len(_UNITS), whens=" ".join(f"WHEN {i} THEN '{w}'" for i, (_, w) in enumerate(_UNITS)))
+# How units are said, by p_partkey, and what is written; apart from the taggers' own table, which they check.
+_SAID = (
+    "kilo watt hours,giga watt hours,mega watt hours,watt hours,kilograms force,astronomical units,miles per hour,kilometers per hour,"
+    "square kilometers,square meters,square feet,square miles,cubic meters,cubic deci meters,peta bytes,gigabytes,megabytes,kilobytes,"
+    "kilobits,bytes,megawatts,kilowatt,gigawatts,watts,horsepower,gigabits per second,megabits per second,degrees celsius,degrees fahrenheit,"
+    "kelvin,megahertz,kilohertz,hertz,millivolts,volts,mega siemens,micrometers,nanometers,millimeters,centimeters,kilometers,meters,feet,"
+    "miles,ounces,kilograms,grams,kilo liters,milliliters,liters,c c,hectares,hours,lumens,percent,cubic decimeters,square foot,mile"
+)
+_WRITTEN = (
+    "kWh,gWh,MWh,Wh,kgf,au,mph,km/h,km²,m²,sq ft,sq mi,m³,dm³,pb,gb,mb,kb,kb,b,mW,kW,gW,W,hp,gbps,mbps,°C,°F,K,mhz,khz,hz,mv,v,ms,μm,nm,mm,cm,km,m,"
+    "ft,mi,oz,kg,g,kl,ml,l,cc,ha,h,lm,%,dm³,sq ft,mi"
+)
 
 
-@query(f"SELECT p_partkey, CAST(p_size AS VARCHAR) || ' ' || {_UNIT_CASE} AS written FROM part")
+@query(f"SELECT p_partkey, CAST(p_size AS VARCHAR) || ' ' || string_split('{_WRITTEN}', ',')[(p_partkey % 58 + 1)::INTEGER] AS written FROM part")
 def itn_measure(spark, sf_dir):
-    names = F.array(*[F.lit(said) for said, _ in _UNITS])
-    said = F.concat(cardinal_words(F.col("p_size")), F.lit(" "), F.element_at(names, (F.col("p_partkey") % len(_UNITS) + 1).cast("int")))
+    names = F.split(F.lit(_SAID), ",")
+    said = F.concat(cardinal_words(F.col("p_size")), F.lit(" "), F.element_at(names, (F.col("p_partkey") % 58 + 1).cast("int")))
     return _table(spark, sf_dir, "part").select("p_partkey", measure(said).alias("written"))
 
 
@@ -158,13 +168,19 @@ def itn_electronic(spark, sf_dir):
     return _table(spark, sf_dir, "supplier").select("s_suppkey", mail.alias("mail"), url.alias("url"))
 
 
-_SIGNS = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in PUNCTUATION.items())
+# Punctuation as it is said, and the signs in the same order.
+_NAMES = (
+    "exclamation point,exclamation mark,question mark,open parenthesis,close parenthesis,left parenthesis,right parenthesis,open bracket,close bracket,"
+    "left bracket,right bracket,open brace,close brace,left brace,right brace,double quote,single quote,forward slash,back slash,period,dot,comma,"
+    "colon,semicolon,hyphen,dash,ellipsis,ampersand,asterisk,at sign,hash,percent,plus,equals,tilde,underscore,pipe,slash"
+)
+_SIGNS = "! ! ? ( ) ( ) [ ] [ ] { } { } \" '' / \\ . . , : ; - - ... & * @ # % + = ~ _ | /"
 
 
-@query(f"SELECT n_nationkey, said, written FROM nation, (VALUES {_SIGNS}) AS v(said, written)")
+@query(f"SELECT o_orderkey, string_split('{_SIGNS}', ' ')[(o_orderkey % 38 + 1)::INTEGER] AS written FROM orders")
 def itn_punctuation(spark, sf_dir):
-    said = F.explode(F.array(*[F.lit(a) for a in PUNCTUATION])).alias("said")
-    return _table(spark, sf_dir, "nation").select("n_nationkey", said).withColumn("written", punctuation(F.initcap("said")))
+    said = F.element_at(F.split(F.lit(_NAMES), ","), (F.col("o_orderkey") % 38 + 1).cast("int"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", punctuation(F.when(F.col("o_orderkey") % 2 == 0, F.initcap(said)).otherwise(said)).alias("written"))
 
 
 @query("SELECT c_custkey, 'dr. ' || c_name || ' e.g. st. John' AS written FROM customer")
@@ -226,3 +242,92 @@ def itn_sentence_options(spark, sf_dir):
     rules = RuleSet.of([("Gee Pee Tee", "GPT")])
     ruled = F.concat(F.lit("gee pee tee for "), cardinal_words(n + 21))
     return _table(spark, sf_dir, "nation").select("n_nationkey", normalize_sentence(apples, 1).alias("one"), normalize_sentence(ruled, rules=rules).alias("ruled"))
+
+
+_PART = "(SELECT p_partkey, p_partkey % 79 + 21 AS n, (p_partkey // 4 % 8 + 2) * 1000 + (p_partkey // 32 % 8 + 2) * 10 AS m FROM part)"
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'RTX ' || CAST(m AS VARCHAR) || 'ti' WHEN 1 THEN 'x' || CAST(n AS VARCHAR) WHEN 2 THEN 'a ' || CAST(n AS VARCHAR) || 'p display' ELSE '5wk' || CAST(p_partkey AS VARCHAR) END AS written FROM {_PART} AS p")
+def itn_product_code(spark, sf_dir):
+    key = F.col("p_partkey")
+    tens = F.split(F.lit("twenty thirty forty fifty sixty seventy eighty ninety"), " ")
+    n = below_hundred(key % 79 + 21)
+    pair = F.concat(F.lit("R t x "), F.element_at(tens, (F.floor(key / 4) % 8 + 1).cast("int")), F.lit(" "), F.element_at(tens, (F.floor(key / 32) % 8 + 1).cast("int")), F.lit(" t I"))
+    said = F.when(key % 4 == 0, pair).when(key % 4 == 1, F.concat(F.lit("x "), n)).when(key % 4 == 2, F.concat(F.lit("a "), n, F.lit(" p display")))
+    return _table(spark, sf_dir, "part").select("p_partkey", telephone(F.coalesce(said, F.concat(F.lit("five w k "), digit_words(key.cast("string"))))).alias("written"))
+
+
+_D = "CAST(o_orderkey % 9 + 1 AS VARCHAR)"
+_MIXED = f"""SELECT o_orderkey, CASE o_orderkey % 14
+  WHEN 0 THEN CAST(o_orderkey % 900 + 100 AS VARCHAR) WHEN 1 THEN '$' || CAST(o_orderkey % 900 + 100 AS VARCHAR) || '.' || lpad(CAST(o_orderkey % 90 + 10 AS VARCHAR), 2, '0')
+  WHEN 2 THEN lower(strftime(o_orderdate, '%B')) || ' ' || CAST(day(o_orderdate) AS VARCHAR) || ' ' || CAST(year(o_orderdate) AS VARCHAR)
+  WHEN 3 THEN lpad(CAST(o_orderkey % 12 + 1 AS VARCHAR), 2, '0') || ':' || CAST(o_orderkey % 49 + 11 AS VARCHAR) || ' p.m.'
+  WHEN 4 THEN CAST(o_orderkey % 900 + 100 AS VARCHAR) || ' km/h' WHEN 5 THEN CAST(o_orderkey % 900 + 100 AS VARCHAR) || '.' || {_D} || {_D}
+  WHEN 6 THEN '555-' || {_D} || {_D} || {_D} || '-' || {_D} || {_D} || {_D} || {_D} WHEN 7 THEN 'order' || CAST(o_orderkey AS VARCHAR) || '@example.com'
+  WHEN 8 THEN CAST((o_orderkey % 80 + 20) * 100 + 11 AS VARCHAR) || 'th' WHEN 9 THEN '?' WHEN 10 THEN 'dr. ' || o_orderstatus
+  WHEN 11 THEN 'kb' || {_D} WHEN 12 THEN 'x' || CAST(o_orderkey % 79 + 21 AS VARCHAR) ELSE 'Order ' || o_orderpriority END AS written FROM orders"""
+
+
+@query(_MIXED)
+def itn_normalize_families(spark, sf_dir):
+    """Whole values of every family through the whole chain, so that the order of the taggers decides."""
+    key = F.col("o_orderkey")
+    big, digit, say = cardinal_words(key % 900 + 100), below_hundred(key % 9 + 1), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    three = say(digit, " ", digit, " ", digit)
+    kinds = [
+        big, say(big, " dollars and ", below_hundred(key % 90 + 10), " cents"), date_words(F.col("o_orderdate")),
+        say(below_hundred(key % 12 + 1), " ", below_hundred(key % 49 + 11), " p m"), say(big, " kilometers per hour"), say(big, " point ", digit, " ", digit),
+        say("five five five ", three, " ", three, " ", digit), say("order ", digit_words(key.cast("string")), " at example dot com"),
+        ordinal_words((key % 80 + 20) * 100 + 11), F.lit("question mark"), say("doctor ", F.col("o_orderstatus")), say("k b ", digit), say("x ", below_hundred(key % 79 + 21)),
+        say("  Order ", F.col("o_orderpriority"), " "),
+    ]
+    said = F.lit(None).cast("string")
+    for k, kind in enumerate(kinds):
+        said = F.when(key % len(kinds) == k, kind).otherwise(said)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", normalize(said).alias("written"))
+
+
+# Every event changes the rule of its user: errors remove it, every 997th event clears all rules, all others set it.
+_LOG = """log AS (SELECT event_id AS seq, CASE WHEN event_id % 997 = 996 THEN 'clear' WHEN event_type = 'error' THEN 'remove' ELSE 'add' END AS op,
+  'user ' || CAST(user_id AS VARCHAR) AS spoken, upper(event_type) || CAST(event_id AS VARCHAR) AS written FROM events)"""
+_FORCE = f"""WITH {_LOG}, c AS (SELECT coalesce(max(seq), -1) AS cleared FROM log WHERE op = 'clear'),
+  l AS (SELECT log.*, row_number() OVER (PARTITION BY spoken ORDER BY seq DESC) AS back FROM log, c WHERE op <> 'clear' AND seq > cleared)
+  SELECT {{}} FROM l WHERE back = 1 AND op = 'add'"""
+
+
+def _log(rows: DataFrame) -> DataFrame:
+    op = F.when(F.col("event_id") % 997 == 996, "clear").when(F.col("event_type") == "error", "remove").otherwise("add")
+    spoken = F.concat(F.lit("User "), F.col("user_id").cast("string"))
+    return rows.select(F.col("event_id").alias("seq"), op.alias("op"), F.when(op != "clear", spoken).alias("spoken"), F.concat(F.upper("event_type"), F.col("event_id").cast("string")).alias("written"))
+
+
+@query(_FORCE.format("spoken, written"))
+def itn_rules_in_force(spark, sf_dir):
+    return rules_in_force(_log(_table(spark, sf_dir, "events")))
+
+
+@query(_FORCE.format("count(*) AS n_rules"))
+def itn_rule_count(spark, sf_dir):
+    return rules_in_force(_log(_table(spark, sf_dir, "events"))).agg(F.count("*").alias("n_rules"))
+
+
+@query(f"""WITH {_LOG}, c AS (SELECT seq AS cleared FROM log WHERE op = 'clear'), l AS (SELECT * FROM log WHERE op <> 'clear'),
+  e AS (SELECT event_id, event_id AS at, 'user ' || CAST(user_id AS VARCHAR) AS said FROM events)
+  SELECT event_id, CASE WHEN l.op = 'add' AND l.seq > coalesce(c.cleared, -1) THEN l.written ELSE said END AS written
+  FROM e ASOF LEFT JOIN l ON l.spoken = e.said AND l.seq <= e.at ASOF LEFT JOIN c ON c.cleared <= e.at""")
+def itn_rule_versions(spark, sf_dir):
+    """What each event's user is called by the rules in force at the event."""
+    rows = _table(spark, sf_dir, "events")
+    said = rows.select("event_id", F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("said"))
+    return normalize_by_versions(said, "said", "event_id", rule_versions(_log(rows))).select("event_id", "written")
+
+
+@query(f"""SELECT conv_id, turn, {_PLAIN} || CASE WHEN o_orderkey IS NULL THEN ' see lot ' || CAST(k AS VARCHAR) ELSE ' see #' || CAST(k AS VARCHAR) || '/' || o_orderstatus END || ' 25' AS written
+  FROM (SELECT *, conv_id * 31 + turn AS k FROM conversations) AS c LEFT JOIN orders ON o_orderkey = k""")
+def itn_sentence_rule_table(spark, sf_dir):
+    """Sentences by a rule for each order, which Spark joins; as many rules as there are orders."""
+    key = F.col("o_orderkey").cast("string")
+    rules = _table(spark, sf_dir, "orders").select(F.concat(F.lit("Lot "), key).alias("spoken"), F.concat(F.lit("#"), key, F.lit("/"), F.col("o_orderstatus")).alias("written"))
+    k = (F.col("conv_id") * 31 + F.col("turn")).cast("string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" see lot "), k, F.lit(" twenty five")).alias("text"))
+    return write_sentences_with_rules(rows, "text", rules).select("conv_id", "turn", "written")
