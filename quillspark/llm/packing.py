@@ -41,7 +41,7 @@ PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 #: Words by which a tokenizer is tried: whether it makes of plain words what its model makes of their parts.
 PROBES = [w + m for w in ("a", "Z", "the", "Hello", "UPPER", "mixedCase", "unbelievableness", "ÉCOLE", "straße", "x1", "2024", "a1b22", *LETTERS) for m in ("", ".", ",", "!", "?", ";", ":", "...", "?!", "-x", ")", "#*$")]
-#: Most words and parts of words that are kept, in a first and a second run of such as many.
+#: Words that are kept for good, and as many in turn; of parts of words half as many.
 KEPT = 150_000
 
 
@@ -94,9 +94,9 @@ class Words(dict):
 
     def trim(self) -> None:
         """Forgets all but the first words, among which are the frequent ones, so that memory is bounded."""
-        for table in (self, self.stems):
-            if len(table) > 2 * self.kept:
-                for word in list(islice(table, self.kept, None)):
+        for table, kept in ((self, self.kept), (self.stems, self.kept // 2)):
+            if len(table) > 2 * kept:
+                for word in list(islice(table, kept, None)):
                     del table[word]
 
 

@@ -27,6 +27,7 @@ scores, repeated rows stay, an empty table gives no rows. A column of df that sh
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -114,8 +115,8 @@ def kernel(words: list[str], landmarks: list[str], then: np.ndarray | None = Non
     np.add.at(table, (at, mark), weight)
     then = np.eye(len(landmarks), dtype=np.float32) if then is None else then.astype(np.float32)
     out = np.zeros((len(words), then.shape[1]), np.float32)
-    for start in range(0, len(words), 200):
-        word, bucket, weight = features(words[start : start + 200])
+    for start in range(0, len(words), 50):
+        word, bucket, weight = features(words[start : start + 50])
         place = np.minimum(np.searchsorted(known, bucket), len(known) - 1)
         hit = np.flatnonzero(known[place] == bucket)
         hit = hit[np.argsort(word[hit], kind="stable")]
@@ -126,10 +127,11 @@ def kernel(words: list[str], landmarks: list[str], then: np.ndarray | None = Non
     return out
 
 
-def machine(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+def machine(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, keep: np.ndarray | None = None) -> np.ndarray:
     """Weights (the last is the intercept) of a linear machine with squared hinge loss, by Newton steps;
-    y is +1 or -1, and both classes weigh the same."""
-    each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
+    y is +1 or -1, and both classes weigh the same. Rows not to keep count as if they were not there."""
+    keep = np.ones(len(y), bool) if keep is None else keep
+    each = np.where(y > 0, 0.5 / max(1, (keep & (y > 0)).sum()), 0.5 / max(1, (keep & (y < 0)).sum())) * keep.sum() * keep
     n = x.shape[1] + 1
     w = np.zeros(n)
     for _ in range(25):
@@ -193,41 +195,59 @@ def landmarks_of(words: list[str], docs: list[np.ndarray], label: np.ndarray, mo
 
 
 def train(docs: list[tuple[int, str]], landmarks: int = LANDMARKS, sentences: int = SENTENCES, rounds: int = 2) -> Model:
-    """A model from (label, text)s. Words that occur once in them are left out of the sentences."""
+    """A model from (label, text)s, which are taken out of the list. Words that occur once in the sentences are left out of them."""
     bare = Model(np.zeros(1 << BITS, np.float32), 1e9, np.zeros(5), np.ones(5), np.array([0.0] * 5 + [-1.0]))
     if {y for y, _ in docs} != {0, 1}:
         return bare  # nothing to learn from
     number: dict[str, int] = {}
-    code = lambda s: np.fromiter((number.setdefault(w, len(number)) for w in words_of(s)), np.int32)
+    code = lambda s: [number.setdefault(w, len(number)) for w in words_of(s)]
     label = np.array([y for y, _ in docs])
-    whole = [code(text) for _, text in docs]
+    whole, flat, sizes, signs = [], array("i"), array("i"), array("i")  # flat: the words of all sentences, one after another
+    while docs:  # a text is let go once its words are numbered
+        y, text = docs.pop(0)
+        whole.append(np.array(code(text), np.int32))
+        for sentence in re.split(r"[.!?|\n]+\s*", text):
+            if sentence.strip():
+                flat.extend(own := code(sentence))
+                sizes.append(len(own))
+                signs.append(1 if y else -1)
     marks = landmarks_of(list(number), whole, label, landmarks)
     if not marks:
         return bare
-    parts = [(y, code(s)) for y, text in docs for s in re.split(r"[.!?|\n]+\s*", text) if s.strip()]
-    if len(parts) > sentences:
-        parts = [parts[i] for i in np.sort(np.random.default_rng(0).choice(len(parts), sentences, replace=False))]
-    often = np.flatnonzero(np.bincount(np.concatenate([c for _, c in parts]), minlength=len(number)) > 1)
+    codes, sizes, y = np.array(flat, np.int32), np.array(sizes, np.int64), np.array(signs, float)
+    if len(y) > sentences:
+        some = np.zeros(len(y), bool)
+        some[np.random.default_rng(0).choice(len(y), sentences, replace=False)] = True
+        codes, sizes, y = codes[np.repeat(some, sizes)], sizes[some], y[some]
+    del flat, signs
+    often = np.flatnonzero(np.bincount(codes, minlength=len(number)) > 1)
     place = np.full(len(number), -1)
     place[often] = np.arange(len(often))
     base = kernel(marks, marks).astype(float)
     e, v = np.linalg.eigh((base + base.T) / 2)
     half = v[:, e > 1e-6] / np.sqrt(e[e > 1e-6])
     words = list(number)
-    near = kernel([words[i] for i in often], marks, half)
-    x = np.zeros((len(parts), half.shape[1]), np.float32)
-    for row, (_, codes) in zip(x, parts):
-        own = place[codes]
-        row[:] = near[own[own >= 0]].sum(0) / np.sqrt(len(codes) or 1)
-    del near
-    y = np.array([1.0 if t else -1.0 for t, _ in parts])
+    x = np.zeros((len(y), half.shape[1]), np.float32)
+    row, word = np.repeat(np.arange(len(y)), sizes), place[codes]
+    row, word = row[word >= 0], word[word >= 0]
+    order = np.argsort(word, kind="stable")
+    for a in range(0, len(order), 10_000):  # places of words in sentences, word by word, and a part of them at a time
+        at = order[a : a + 10_000]
+        low, high = word[at[0]], word[at[-1]]
+        near = kernel([words[i] for i in often[low : high + 1]], marks, half)
+        at = at[np.argsort(row[at], kind="stable")]
+        first = np.flatnonzero(np.diff(row[at], prepend=-1))
+        x[row[at[first]]] += np.add.reduceat(near[word[at] - low], first)
+    x /= np.sqrt(np.maximum(sizes, 1))[:, None]
+    del row, word, order, codes, place
     keep = np.ones(len(y), bool)
     for _ in range(rounds + 1):
-        w = machine(x[keep], y[keep])
-        found = x @ w[:-1] + w[-1]
+        w = machine(x, y, keep=keep)
+        found = np.concatenate([x[a : a + 2_000] @ w[:-1] for a in range(0, len(x), 2_000)]) + w[-1]
         keep = (y < 0) | (found > np.quantile(found[y < 0], 0.98))
         if not (keep & (y > 0)).any():
             break
+    del x, found
     beta = half @ w[:-1]
     mark, bucket, weight = features(marks)
     weights = np.bincount(bucket, weight * beta[mark], 1 << BITS).astype(np.float32)
