@@ -223,10 +223,15 @@ def roots(rows: DataFrame, texts: DataFrame, words: int = WORDS, share=SHARE, ra
     rest = found.where("token is not null").select("token", F.col("a").alias("key"), F.col("b").alias("n"), "at")
     rest = common.cut(rest.join(joined, "key", "left").select("token", "key", "n", "at", F.coalesce("root", "key").alias("root")))
     early = enough(F.col("n") - F.col("at"), 2 * F.col("n"), share)  # else it can only be the larger of two
-    groups = rest.groupBy("token", "root").agg(*(f("n").alias(c) for f, c in ((F.min, "low"), (F.max, "high"))), F.min(F.when(early, F.col("n"))).alias("least"), F.max(F.when(early, F.col("n"))).alias("most"))
+    # of each group all that a pair of its texts with others depends on: sizes, and how early the token stands
+    ends = [(F.min, "n", "low"), (F.max, "n", "high"), (F.min, "at", "first")]
+    small = [(F.min, "n", "least"), (F.max, "n", "most"), (F.min, "at", "soonest")]
+    groups = rest.groupBy("token", "root").agg(*(f(c).alias(name) for f, c, name in ends), *(f(F.when(early, F.col(c))).alias(name) for f, c, name in small))
     groups = common.cut(groups)
-    other = groups.select("token", F.col("root").alias("root2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    reach = (F.col("high2") >= F.col("least")) & (F.col("most") * share[1] >= F.col("low2") * share[0])
+    other = groups.select("token", F.col("root").alias("root2"), *(F.col(name).alias(f"{name}2") for _, _, name in ends))
+    low, high, most, least = (F.col(c) for c in ("low2", "high2", "most", "least"))
+    # the best that any two of them could do: ``possible`` where groups are of one text
+    reach = (high >= least) & enough(most - F.col("soonest"), most + low, share) & enough(high - F.col("first2"), least + high, share)
     apart = groups.where("least is not null").join(other, "token").where((F.col("root") != F.col("root2")) & reach).select("token", "root", "root2")
     mine = rest.where(early).select("token", "root", F.col("key").alias("a"), F.col("n").alias("n1"), F.col("at").alias("at1"))
     theirs = rest.select("token", F.col("root").alias("root2"), F.col("key").alias("b"), F.col("n").alias("n2"), F.col("at").alias("at2"))
