@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from . import common, packing
 
 END_ID, LIMIT, BLOCK, POINT, LANES = 2, 18, 1 << 16, 128, 1 << 14
+KEPT = 300_000  # words whose ids a worker remembers: see packing
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -135,7 +136,7 @@ def ids_of(df: DataFrame, path: str, text: str, key: str, end_id: int, kind: str
 
     def make():
         def work(texts: pa.Array) -> list:
-            ids, counts = packing.encode(path, texts.cast(pa.binary()).to_pylist())
+            ids, counts = packing.encode(path, texts.cast(pa.binary()).to_pylist(), KEPT)
             ends = np.cumsum(counts)
             whole = np.insert(ids.astype(kind), ends, end_id)
             offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * whole.itemsize

@@ -105,9 +105,9 @@ def words_of(path: str, kept: int = KEPT) -> Words:
     return Words(path, kept)
 
 
-def encode(path: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def encode(path: str, texts: list[bytes], kept: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
     """(ids, counts): the tokens of the texts one after another, and how many each has."""
-    words = words_of(path)
+    words = words_of(path, kept)
     made = []
     for text in texts:
         made.append(b"".join([words[w] for w in text.split()]))
