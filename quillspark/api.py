@@ -15,6 +15,7 @@ from .operators.money import money
 from .operators.rules import RowRules, RuleSet, rule_versions, rules_in_force
 from .operators.terms import punctuation, term, word
 from .operators.times import time
+from .plans.chain import Chain, Tagger, span_report, write_by_spans
 from .plans.normalize import normalize, normalize_by_versions, normalize_sentence, normalize_with_lang, normalize_with_rules, write_sentences_with_rules
 from .streaming.normalize_stream import with_written
 
@@ -30,6 +31,6 @@ def normalized_view(df: DataFrame, column: str, view: str, output: str = "writte
 
 
 __all__ = [
-    "TAGGERS", "RowRules", "RuleSet", "__version__", "normalize", "normalize_by_versions", "normalize_sentence", "normalize_with_lang", "normalize_with_rules",
-    "normalized_view", "number", "rule_versions", "rules_in_force", "with_written", "write_sentences_with_rules",
+    "TAGGERS", "Chain", "RowRules", "RuleSet", "Tagger", "__version__", "normalize", "normalize_by_versions", "normalize_sentence", "normalize_with_lang", "normalize_with_rules",
+    "normalized_view", "number", "rule_versions", "rules_in_force", "span_report", "with_written", "write_by_spans", "write_sentences_with_rules",
 ]

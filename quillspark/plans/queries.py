@@ -3,6 +3,7 @@ of the number, which shares nothing with the taggers: tables that it needs are w
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,10 @@ from ..operators.money import money
 from ..operators.rules import RuleSet, rule_versions, rules_in_force
 from ..operators.terms import punctuation, term, word
 from ..operators.times import time
+from ..sources.pairs import shared_folder, write_pairs
+from ..sources.pairs_source import register
 from ..sources.verbalize import below_hundred, cardinal_words, date_words, digit_words, ordinal_words, time_words, year_words
+from .chain import Chain, Tagger, span_report, write_by_spans
 from .normalize import normalize, normalize_by_versions, normalize_sentence, normalize_with_lang, normalize_with_rules, spread, write_sentences_with_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -331,3 +335,46 @@ def itn_sentence_rule_table(spark, sf_dir):
     k = (F.col("conv_id") * 31 + F.col("turn")).cast("string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" see lot "), k, F.lit(" twenty five")).alias("text"))
     return write_sentences_with_rules(rows, "text", rules).select("conv_id", "turn", "written")
+
+
+# Sentences of which SQL knows each span: two words, then "we sold <a> kilograms then paid <b> dollars at two thirty p m period".
+_A, _B = "(p_size)", "(p_partkey % 80 + 20)"
+_N = "(CASE WHEN {0} < 20 OR {0} % 10 = 0 THEN 1 ELSE 2 END)"
+_SPANS = f"""p AS (SELECT p_partkey, p_partkey % 2 = 0 AS lot, chr(97 + (p_partkey % 26)::INTEGER) AS letter, CAST({_A} AS VARCHAR) AS a, CAST({_B} AS VARCHAR) AS b,
+  {_N.format(_A)} AS wa, {_N.format(_B)} AS wb FROM part),
+  s AS (SELECT p_partkey, 0 AS "start", 2 AS "end", 'lot' AS tagger, 'LOT-' || letter AS written FROM p WHERE lot
+  UNION ALL SELECT p_partkey, 4, 5 + wa, 'measure', a || ' kg' FROM p UNION ALL SELECT p_partkey, 7 + wa, 8 + wa + wb, 'money', '$' || b FROM p
+  UNION ALL SELECT p_partkey, 9 + wa + wb, 13 + wa + wb, 'time', '02:30 p.m.' FROM p UNION ALL SELECT p_partkey, 13 + wa + wb, 14 + wa + wb, 'punctuation', '.' FROM p)"""
+#: A user's tagger: a lot's letter, written with a dash.
+LOTS = Chain().add(Tagger("lot", lambda x: F.when(x.rlike("^lot [a-z]$"), F.concat(F.lit("LOT-"), F.right(x, F.lit(1)))), trigger=" lot [a-z] "), before="punctuation")
+
+
+def _sold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lot = F.concat(F.lit("lot "), F.char(F.lit(97) + F.col("p_partkey") % 26))
+    said = F.concat(
+        F.when(F.col("p_partkey") % 2 == 0, lot).otherwise("all day"), F.lit(" we sold "), cardinal_words(F.col("p_size")), F.lit(" kilograms then paid "),
+        cardinal_words(F.col("p_partkey") % 80 + 20), F.lit(" dollars at  two thirty p m period"),
+    )
+    return _table(spark, sf_dir, "part").select("p_partkey", said.alias("said"))
+
+
+@query(f'WITH {_SPANS} SELECT p_partkey, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end", tagger, written FROM s')
+def itn_span_report(spark, sf_dir):
+    """Which tagger wrote which words, a user's among them."""
+    return span_report(_sold(spark, sf_dir), "said", ["p_partkey"], LOTS).select("p_partkey", "start", "end", "tagger", "written")
+
+
+@query(f"""WITH {_SPANS} SELECT p_partkey, CASE WHEN lot THEN 'LOT-' || letter ELSE 'all day' END || ' we sold ' || a || ' kg then paid $' || b || ' at 02:30 p.m. .' AS written FROM p""")
+def itn_sentence_spans(spark, sf_dir):
+    """The sentences, written from the table of spans."""
+    return write_by_spans(_sold(spark, sf_dir), "said", chain=LOTS).select("p_partkey", "written")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey = 0 THEN 'zero' ELSE CAST(c_custkey AS VARCHAR) END AS made FROM customer")
+def itn_pair_files(spark, sf_dir):
+    """Pairs of the customers' keys, written as files to the shared folder and read by the data source."""
+    key = F.col("c_custkey")
+    folder = write_pairs(_table(spark, sf_dir, "customer").select(cardinal_words(key).alias("spoken"), key.cast("string").alias("written")), f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}")
+    register(spark)
+    pairs = spark.read.format("spoken_pairs").load(folder)
+    return spread(pairs).select(F.col("written").cast("long").alias("c_custkey"), cardinal(F.col("spoken")).alias("made"))
