@@ -8,24 +8,22 @@ where one diagonal has all its votes. For a notice, diagonals at most ``drift``
 spans words put in or left out, and verified: the share of the notice's k-grams that were hit must
 reach ``share``, and its words may not spread over more than twice its length.
 
-Only texts that hold a word of some template's watch list are taken apart. The list is such that at most
-so many of the template's k-grams have none of its words that they fall short of what a span needs; a text
-without any of these words can have no span, so nothing is lost. Equal texts are taken apart once. Templates
-are a table of (label, notice, text), which callers may give; it is broadcast only as far as its measured bytes allow.
+All texts are taken apart and all their k-grams meet the templates, so no list of words decides what is looked at.
+The table of hits holds each place of a text once, whatever number of rows have that text: hits are keyed by the text's
+MD5 and counted as sets of template positions. Templates are a table of (label, notice, text), which callers may give;
+it is broadcast only as far as its measured bytes allow.
 
 Null texts count as empty. Words are runs of a-z, digits and characters beyond ASCII, after A-Z are
 lower-cased. Rows of equal text have equal results, repeated rows stay. A text without words has no span, an empty
-table gives no rows. A long text is a row of its k-grams each, dealt with all others. Other columns of df
+table gives no rows. A long text's k-grams are rows of the task that reads it, of which only hits go on. Other columns of df
 are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -102,9 +100,9 @@ NOTICES = [
 PHRASE_K, NOTICE_K, SHARE, DRIFT = 2, 3, 0.6, 2
 
 
-def gram_at(k: int):
-    """The hash of the k words from place i (from 1) of the column words."""
-    return lambda i: F.xxhash64(F.array_join(F.slice(F.col("words"), i, k), " "))
+def gram_hash(words: Column, first: Column, k: int) -> Column:
+    """The hash of k and of the k words from place first (from 0)."""
+    return F.xxhash64(F.lit(k), *(F.get(words, first + i) for i in range(k)))
 
 
 def template_table(spark: SparkSession, phrases: Sequence = tuple(PHRASES), notices: Sequence = tuple(NOTICES)) -> DataFrame:
@@ -114,54 +112,32 @@ def template_table(spark: SparkSession, phrases: Sequence = tuple(PHRASES), noti
 
 
 def templates(table: DataFrame) -> DataFrame:
-    """(template, label, notice, grams, words, k, place, gram, hash): one row for each k-gram of (label, notice, text).
+    """(template, label, notice, grams, words, k, place, hash): one row for each k-gram of (label, notice, text).
 
     A template of fewer words than k has none, and is found nowhere."""
     made = table.select("label", "notice", F.split("text", " ").alias("w"), F.when(F.col("notice"), NOTICE_K).otherwise(PHRASE_K).alias("k"))
     made = made.withColumn("template", F.xxhash64("label", "notice", F.array_join("w", " "))).dropDuplicates(["template"])
     made = made.withColumn("words", F.size("w")).where("words >= k").withColumn("grams", F.col("words") - F.col("k") + 1)
     made = made.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("grams") - 1)))
-    made = made.withColumn("gram", F.expr("slice(w, place + 1, k)"))
-    return made.withColumn("hash", F.xxhash64(F.array_join("gram", " "))).drop("w")
-
-
-def watched(grams: Sequence[Sequence[str]], least: int) -> list[str]:
-    """Words of which any ``least`` of the k-grams hold one: long ones first, while they add to what is covered."""
-    open_, chosen = set(range(len(grams))), []
-    for word in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
-        own = {i for i in open_ if word in grams[i]}
-        if own and len(open_) >= least:
-            chosen.append(word)
-            open_ -= own
-    return chosen
-
-
-def watch_list(known: DataFrame, share: float) -> list[str]:
-    """The watched words of all templates, sorted; as many at most as the templates have."""
-    rows = known.groupBy("template", "notice", "grams").agg(F.collect_list("gram").alias("all")).collect()
-    return sorted({w for r in rows for w in watched(r["all"], max(1, math.ceil(share * r["grams"] - 1e-9)) if r["notice"] else r["grams"])})
+    return made.withColumn("hash", F.when(F.col("notice"), gram_hash(F.col("w"), F.col("place"), NOTICE_K)).otherwise(gram_hash(F.col("w"), F.col("place"), PHRASE_K))).drop("w")
 
 
 def votes(words: DataFrame, known: DataFrame) -> DataFrame:
-    """(key, template, diagonal, ...): hits of all rolling k-grams of (key, words), counted by diagonal."""
-    hits = []
-    for k in sorted({PHRASE_K, NOTICE_K}):
-        last = F.size("words") - k + 1
-        grams = F.transform(F.sequence(F.lit(1), last), gram_at(k))
-        own = words.where(last >= 1).select("key", F.posexplode(grams).alias("at", "hash"))
-        these = known.where(F.col("k") == k).drop("gram")
-        few = common.few(these)
-        hits.append(own.join(these if few is None else few, "hash"))
-    rows = reduce(DataFrame.unionByName, hits).withColumn("diagonal", F.col("at") - F.col("place"))
+    """(key, template, diagonal, ...): hits of all rolling k-grams of (key, words), counted by diagonal.
+
+    Rows of one key have the same words and are counted once: a diagonal has each of the template's places once."""
+    at_each = F.transform("words", lambda _, i: F.array(*(gram_hash(F.col("words"), i, k) for k in (PHRASE_K, NOTICE_K))))
+    own = words.select("key", F.posexplode(F.flatten(at_each)).alias("nth", "hash"))
+    few = common.few(known)
+    rows = own.join(known if few is None else few, "hash").withColumn("at", F.expr("nth div 2").cast("int")).withColumn("diagonal", F.col("at") - F.col("place"))
     fixed = [F.first(c).alias(c) for c in ("label", "notice", "grams", "words", "k")]
-    return rows.groupBy("key", "template", "diagonal").agg(
-        F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"), F.collect_set("place").alias("places"), *fixed
-    )
+    voted = rows.groupBy("key", "template", "diagonal").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.collect_set("place").alias("places"), *fixed)
+    return voted.withColumn("votes", F.size("places"))
 
 
 def spans(words: DataFrame, known: DataFrame, share: float = SHARE, drift: int = DRIFT) -> DataFrame:
     """(key, label, notice, start, end, score): verified spans, in words, ends exclusive."""
-    voted = votes(words.select("key", "words"), known)
+    voted = common.cut(votes(words.select("key", "words"), known))
     exact = voted.where(~F.col("notice") & (F.col("votes") == F.col("grams")))
     exact = exact.select("key", "label", "notice", F.col("diagonal").cast("long").alias("start"), (F.col("diagonal") + F.col("words")).cast("long").alias("end"), F.lit(1.0).alias("score"))
     order = W.partitionBy("key", "template").orderBy("diagonal")
@@ -183,15 +159,10 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates_:
     templates_: (label, notice, text), else ``template_table``; those that are no notices are base phrases."""
     known = common.cut(templates(template_table(df.sparkSession) if templates_ is None else templates_))
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    low = F.lower(value)
-    gate = reduce(lambda a, b: a | b, [low.contains(x) for x in watch_list(known, share)], F.lit(False))
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), value.alias("text"))
     n_words = F.regexp_count("text", F.lit(ANY_CASE)).cast("long").alias("n_words")
-    rows = rows.withColumn("gate", gate)
-    narrow = common.cut(rows.select("doc_id", n_words, F.when(F.col("gate"), F.md5("text")).alias("key")))
-    opened = rows.where("gate").select(F.md5("text").alias("key"), "text").dropDuplicates(["key"])
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = common.cut(opened.select("key", F.regexp_extract_all(lowered, F.lit(f"({WORD})")).alias("words")))
+    words = rows.select(F.md5("text").alias("key"), F.regexp_extract_all(lowered, F.lit(f"({WORD})")).alias("words"))
     found = spans(words, known, share, drift)
     base = ~F.col("notice")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
@@ -200,10 +171,8 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates_:
         joined(F.when(base, F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.max("score").alias("score"),
     ))
     out = ["doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score")]
-    with_key = narrow.where("key is not null").join(found, "key", "left").select(*out)
-    none = F.lit(None).cast("long")
-    without = narrow.where("key is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_base"), none.alias("first_word"), none.alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"))
-    return with_key.union(without)
+    few = common.few(found)
+    return rows.select("doc_id", n_words, F.md5("text").alias("key")).join(found if few is None else few, "key", "left").select(*out)
 
 
 def _values() -> str:
@@ -211,7 +180,7 @@ def _values() -> str:
     return ", ".join(f"({i}, '{label}', {notice}, '{words}', {k})" for i, (label, notice, words, k) in enumerate(rows))
 
 
-#: The same over documents, for DuckDB, without the gate: every text is taken apart.
+#: The same over documents, for DuckDB.
 SQL = f"""
 WITH t AS (
   SELECT *, string_split(said, ' ') AS tw FROM (VALUES {_values()}) AS v(template, label, notice, said, k)),
