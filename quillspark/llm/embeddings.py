@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by a PCA-ordered tiled comparison.
 
 Vectors are normalised and rotated onto the principal axes of all vectors (their second moments are
-summed by Spark; a d x d matrix reaches the driver). Two unit vectors of cosine c are sqrt(2 - 2c)
+summed by Spark; the upper half of a d x d matrix reaches the driver for each length of vectors, as columns). Two unit vectors of cosine c are sqrt(2 - 2c)
 apart, so no pair that links differs by more in any coordinate: vectors fall into cells of that width
 along the leading axes, and only neighbouring cells of one label are compared. Cells are dealt into
 tiles of at most about ``tile`` vectors, by a hash, so that a hot label or cell is many tiles. Pairs of tiles
@@ -56,15 +56,19 @@ def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
             for d, x in stacked(batch.column(0)):
                 total[d] = total.get(d, 0) + x.T @ x
         for d, m in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, d)), pa.array(np.arange(d * d)), pa.array(m.ravel())], names=["d", "i", "x"])
+            upper = m[np.triu_indices(d)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(upper), d, np.int32)), pa.array(np.arange(len(upper), dtype=np.int32)), pa.array(upper)], names=["d", "i", "x"])
 
-    sums: dict[int, np.ndarray] = {}
-    for d, i, x in vectors.select("v").mapInArrow(run, "d long, i long, x double").groupBy("d", "i").agg(F.sum("x").alias("x")).collect():
-        sums.setdefault(d, np.zeros(d * d))[i] = x
+    sums = vectors.select("v").mapInArrow(run, "d int, i int, x double").groupBy("d", "i").agg(F.sum("x").alias("x")).toArrow()
+    lengths, places, values = (sums.column(c).to_numpy() for c in ("d", "i", "x"))
     out = {}
-    for d, x in sums.items():
-        m = x.reshape(d, d)
-        out[d] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
+    for d in np.unique(lengths).tolist():
+        own = lengths == d
+        upper = np.zeros(d * (d + 1) // 2)
+        upper[places[own]] = values[own]
+        m = np.zeros((d, d))
+        m[np.triu_indices(d)] = upper
+        out[d] = np.linalg.eigh(m, UPLO="U")[1][:, ::-1].copy()
     return out
 
 
