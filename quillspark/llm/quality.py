@@ -9,9 +9,9 @@ threshold is kept: no chance is involved. The threshold is set where labelled go
 told apart best, a lost good text counting ``care`` times a kept bad one.
 
 The raw multinomial counts every n-gram of every text, the trusted one those of every text that is
-labelled as good, so both grow with the input. Only the threshold comes from a bounded sample: of either
-class ``most`` documents with the smallest hashes of their ids, and of each id one text, the least. The
-model is 2^16 + 256 numbers, whatever the corpus.
+labelled as good, and the threshold is the best of all cuts between scores of labelled rows that pass the rules:
+nothing is sampled. Counts up to each score are exact, summed up in cells of scores and over the cells. The
+model is 2^16 + 256 numbers, whatever the corpus. Ratios are added up as whole numbers, so that equal texts have equal scores.
 
 Null texts count as empty and fail the rules. Labels of a doc_id that disagree count as bad; null ids and
 other labels than 0 and 1 count as no label. Without good or without bad labels the threshold is the lowest,
@@ -27,14 +27,16 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-GRAM, BITS, MOST, CARE, WINDOW = 4, 16, 5_000, 5.0, 5
+GRAM, BITS, CARE, WINDOW, CELLS = 4, 16, 5.0, 5, 256
 BUCKETS = (1 << BITS) + 256
 SYMBOLS = "#*$%&|<>"
+UNIT = 1 << 20  # parts of 1 in which log ratios are added up
 
 
 @dataclass(frozen=True)
@@ -129,32 +131,51 @@ def sample(labels: DataFrame, column: str, most: int, doc_id: str = "doc_id", lo
     return common.cut(rows.where("__label = 1").orderBy(by).limit(most).union(rows.where("__label = 0").orderBy(by).limit(most)))
 
 
-def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST, care: float = CARE) -> Model:
-    good = agreed(labels, label, doc_id).where("__label = 1")
-    few = common.few(good)
+def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", care: float = CARE) -> Model:
+    known = agreed(labels, label, doc_id)
+    few = common.few(known)
     rows = df.select(F.col(f"`{doc_id}`").alias("__id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    marked = rows.join(good if few is None else few, "__id", "left").select("text", F.col("__label").isNotNull().alias("trusted"))
-    raw, trusted = counts(marked).astype(float)
+    marked = rows.join(known if few is None else few, "__id", "left").select("text", "__label")
+    raw, trusted = counts(marked.select("text", F.coalesce(F.col("__label") == 1, F.lit(False)).alias("trusted"))).astype(float)
     ratio = np.log((trusted + 1) / (trusted.sum() + len(trusted))) - np.log((raw + 1) / (raw.sum() + len(raw)))
     model = Model(ratio.astype(np.float32), 0.0)
-    known = F.broadcast(sample(labels, label, most, doc_id))  # 2 * most rows of two numbers
-    some = rows.join(known, "__id").groupBy("__id", "__label").agg(F.min("text").alias("text"))
-    scored = verdicts(some, model, "text", ["__label"]).where("not base_failed").select("__label", "score")
-    found = np.array(scored.collect(), float).reshape(-1, 2)  # a row for each id of the sample at most
-    return Model(model.ratio, threshold(found[found[:, 0] == 1, 1], found[found[:, 0] == 0, 1], care))
+    scored = verdicts(marked.where("__label is not null"), model, "text", ["__label"]).where("not base_failed")
+    return Model(model.ratio, threshold(scored.select(F.col("__label").alias("label"), "score"), care))
 
 
-def threshold(good: np.ndarray, bad: np.ndarray, care: float) -> float:
-    """Where care times the share of lost good scores and that of kept bad ones together are least, amid the gap."""
-    if not len(good) or not len(bad):
+def threshold(scored: DataFrame, care: float, cells: int = CELLS) -> float:
+    """Where care times the share of lost good scores and that of kept bad ones together are least, amid the gap; of
+    rows (label, score).
+
+    A cut stands above each different score, and one below all. The driver gets a row for each cell of scores at most."""
+    each = common.cut(scored.groupBy("score").agg(F.sum("label").cast("long").alias("good"), F.sum(1 - F.col("label")).cast("long").alias("bad")))
+    good, bad, lowest, borders = each.agg(F.sum("good"), F.sum("bad"), F.min("score"), F.percentile_approx("score", [i / cells for i in range(1, cells)])).first()
+    if not good or not bad:
         return float("-inf")
-    every = np.unique(np.concatenate([good, bad]))
-    cuts = np.concatenate([[every[0] - 1], (every[1:] + every[:-1]) / 2, [every[-1] + 1]])
-    lost = np.searchsorted(np.sort(good), cuts) / len(good)
-    kept = 1 - np.searchsorted(np.sort(bad), cuts) / len(bad)
-    cost = care * lost + kept
-    best = np.flatnonzero(cost <= cost.min() + 1e-12)
-    return float(cuts[best[len(best) // 2]])
+    cell = F.size(F.filter(F.array(*map(F.lit, sorted(set(borders)))), lambda x: x < F.col("score")))
+    each = common.cut(each.withColumn("cell", cell))
+    sums = each.groupBy("cell").agg(F.sum("good").alias("good_in"), F.sum("bad").alias("bad_in"))
+    before = W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)  # over a row a cell
+    sums = sums.select("cell", *(F.coalesce(F.sum(f"{c}_in").over(before), F.lit(0)).alias(f"{c}_before") for c in ("good", "bad")))
+    up_to = W.partitionBy("cell").orderBy("score")
+    lost, gone = (F.sum(c).over(up_to) + F.col(f"{c}_before") for c in ("good", "bad"))
+    cost = (care * lost / F.lit(good) + 1 - gone / F.lit(bad)).alias("cost")
+    cuts = common.cut(each.join(F.broadcast(sums), "cell").select("cell", "score", cost))
+    least = min(1.0, cuts.agg(F.min("cost")).first()[0])  # the cut below all costs 1
+    best = cuts.where(F.col("cost") <= least + 1e-12)
+    at = dict(best.groupBy("cell").count().collect())
+    below = int(least > 1 - 1e-12)
+    place = (below + sum(at.values())) // 2 - below  # of the best cuts the one in the middle
+    if place < 0:
+        return lowest - 1
+    for one in sorted(at):
+        if place < at[one]:
+            break
+        place -= at[one]
+    number = F.row_number().over(W.orderBy("score"))  # over the best cuts of one cell
+    low = best.where(F.col("cell") == one).select("score", number.alias("number")).where(F.col("number") == place + 1).first()[0]
+    high = each.where(F.col("score") > low).agg(F.min("score")).first()[0]
+    return low + 1 if high is None else (low + high) / 2
 
 
 def repeated_lines(text: bytes) -> int:
@@ -194,7 +215,7 @@ def repeated_words(codes: np.ndarray, sizes: np.ndarray, window: int = WINDOW) -
 
 def verdicts(df: DataFrame, model: Model, text: str = "text", carry=None) -> DataFrame:
     """carried columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score."""
-    ratio, least = model.ratio, model.threshold
+    ratio, least = np.rint(model.ratio.astype(float) * UNIT).astype(np.int64), model.threshold
 
     def make():
         symbol, char = np.zeros(256, bool), np.ones(256, bool)
@@ -208,10 +229,10 @@ def verdicts(df: DataFrame, model: Model, text: str = "text", carry=None) -> Dat
             repeats = repeated_words(codes, n)
             chars, symbols = (common.per_row(t[data].astype(np.int64), offsets) for t in (char, symbol))
             lines = np.fromiter(map(repeated_lines, raw), np.int64, len(raw))
-            value = np.zeros(len(data))
+            value = np.zeros(len(data), np.int64)
             value[: max(0, len(data) - GRAM + 1)] = ratio[grams(data)] * within(offsets)
-            words = common.per_row(ratio[doubling(codes, n)].astype(float), np.concatenate([[0], np.cumsum(n)]))
-            score = (common.per_row(value, offsets) + words) / np.maximum(1, np.diff(offsets) - GRAM + 1)
+            words = common.per_row(ratio[doubling(codes, n)], np.concatenate([[0], np.cumsum(n)]))
+            score = (common.per_row(value, offsets) + words) / (UNIT * np.maximum(1, np.diff(offsets) - GRAM + 1))
             failed = (n < 10) | (100 * repeats > 20 * n)
             return [n, chars, symbols, lines, repeats, failed, ~failed & (score >= least), score]
 

@@ -103,6 +103,43 @@ def test_quality_tells_junk_apart(spark):
     assert sum(right) >= 0.95 * len(right)
 
 
+def test_quality_threshold_comes_from_all_labels(spark):
+    """The best cut over the scores of all labelled rows, of which there are more than any sample held, against plain Python."""
+    r = random.Random(3)
+    lists = [["alpha", "beta", "gamma", "delta", "omega", "sigma"], ["beta", "zeta", "theta", "omega", "kappa", "iota"]]
+    rows = [(i, " ".join(r.choice(lists[(i % 2) ^ (r.random() < 0.45)]) + str(r.randrange(30)) for _ in range(12)), (i + 1) % 2) for i in range(13_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(df, df.select("doc_id", "quality"), care=1.0)
+    scored = [(x.score, x.quality) for x in quality.verdicts(df, model, carry=["quality"]).where("not base_failed").collect()]
+    assert model.threshold == pytest.approx(best_cut(scored, 1.0), abs=1e-9)
+
+
+def test_quality_threshold(spark):
+    r = random.Random(5)
+    cases = [[(r.randrange(40) / 8 + y, y) for y in r.choices((0, 1), k=n)] for n in (2, 30, 400)]
+    cases += [[(1.0, 1), (2.0, 0)], [(1.0, 1), (1.0, 0)], [(0.0, 0), (1.0, 1), (2.0, 0), (3.0, 0), (4.0, 1)]]
+    for rows in cases:
+        df = spark.createDataFrame(rows, "score double, label int")
+        assert quality.threshold(df, 5.0, cells=7) == pytest.approx(best_cut(rows, 5.0), abs=1e-12)
+
+
+def best_cut(rows, care):
+    """Of (score, label): the middle one of the cuts that cost least, cuts being amid neighbouring scores and beyond all."""
+    good, bad = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    if not good or not bad:
+        return float("-inf")
+    scores, sums = sorted({x for x, _ in rows}), {}
+    for x, y in rows:
+        sums.setdefault(x, [0, 0])[y] += 1
+    costs, lost, gone = [1.0], 0, 0
+    for x in scores:
+        gone, lost = gone + sums[x][0], lost + sums[x][1]
+        costs.append(care * lost / good + 1 - gone / bad)
+    cuts = [scores[0] - 1, *((a + b) / 2 for a, b in zip(scores, scores[1:])), scores[-1] + 1]
+    best = [cut for cut, cost in zip(cuts, costs) if cost <= min(costs) + 1e-12]
+    return best[len(best) // 2]
+
+
 def test_token_counts(docs):
     import sentencepiece
 
