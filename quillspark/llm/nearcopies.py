@@ -167,7 +167,8 @@ def shared(tokens: DataFrame, share, crowd: int) -> DataFrame:
 
 def verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, words: int, share) -> DataFrame:
     """The pairs (a, b) of keys whose texts are similar. known: key, n, bins; texts: key, text, maybe repeated."""
-    pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # cut here, as the driver would plan all that made the pairs together with the joins below
+    pairs = common.cut(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sides = [known.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab"]
     bounded = pairs.join(sides[0], "a").join(sides[1], "b").where(fits(F.col("n_a"), F.col("n_b"), share)).select("a", "b", "n_a", "n_b", "bins_a", "bins_b")
     pair = T.StructType([T.StructField(c, T.LongType()) for c in "ab"])
