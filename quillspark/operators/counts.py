@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.columns import after, before, first, let, look_up, only, put, trimmed, words
-from ..functions.numbers import TENS, digits, number
+from ..functions.numbers import SCALES, TENS, digits, number
 
 # Ordinal words.
 ORDINALS = dict(zip(
@@ -15,6 +15,11 @@ ORDINALS = dict(zip(
 )) | {w[:-1] + "ieth": n for w, n in TENS.items()}
 ORDINAL_SCALES = {"hundredth": 10**2, "thousandth": 10**3, "millionth": 10**6, "billionth": 10**9}
 BIG_SCALES = ["trillion", "billion", "million", "thousand"]
+_ZEROS = {w: len(str(SCALES[w])) - 1 for w in BIG_SCALES}
+#: A scale at the end of a number that a larger scale has begun, as in "one million two hundred thousand".
+_BEGUN = "(?U)" + "|".join(
+    rf"(?:^|\s)(?:{'|'.join(w for w, n in SCALES.items() if n > SCALES[scale])})\s(?:.*\s)?(?!(?:{'|'.join(SCALES)})\s)\S+\s+{scale}$" for scale in BIG_SCALES
+)
 
 
 def signed(value: Column, signs: list[str], then) -> Column:
@@ -64,12 +69,20 @@ def point(low: Column) -> Column:
 
 
 def decimal(value: Column) -> Column:
+    """A number with a point, or in front of a scale. Where a larger scale has begun the number, it is counted by the last
+    one as a whole: "one million two hundred thousand" are 1200 thousand."""
+
     def scaled(original: Column, low: Column) -> Column:
         scale = F.regexp_extract(low, f"({'|'.join(BIG_SCALES)})$", 1)
-        return only(scale != "", let(F.length(scale), lambda n: of(trimmed(F.left(low, F.length(low) - n)), F.right(original, n))))
+        return only(scale != "", let(F.length(scale), lambda n: of(low, trimmed(F.left(low, F.length(low) - n)), F.right(original, n))))
+
+    def of(low: Column, head: Column, scale: Column) -> Column:
+        whole = lambda begun: let(number(F.when(begun, low).otherwise(head)).cast("string"), lambda n: F.when(begun, counted(n, scale)).otherwise(n))
+        return F.when(head.contains(" point "), put(point(head), " ", scale)).otherwise(put(let(low.rlike(_BEGUN), whole), " ", scale))
 
-    def of(head: Column, scale: Column) -> Column:
-        return F.when(head.contains(" point "), put(point(head), " ", scale)).otherwise(put(number(head).cast("string"), " ", scale))
+    def counted(n: Column, scale: Column) -> Column:
+        zeros = look_up(_ZEROS, F.lower(scale))
+        return only(F.right(n, zeros) == F.repeat(F.lit("0"), zeros), F.left(n, F.length(n) - zeros))
 
     return let(trimmed(value), lambda o: let(F.lower(o), lambda low: first(scaled(o, low), point(low))))
 
