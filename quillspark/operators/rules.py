@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import joined, look_up, text, trimmed, words
+from ..functions.columns import joined, look_up, only, text, trimmed, words
 
 
 @dataclass(frozen=True)
@@ -67,28 +67,45 @@ class RowRules:
     def within(self, low: Column) -> Column:
         return F.coalesce(F.exists(F.map_keys(self.found), lambda spoken: low.contains(spoken)), F.lit(False))
 
+    def words(self) -> Column:
+        """All words of the row's rules."""
+        return F.coalesce(F.array_distinct(F.flatten(F.transform(F.map_keys(self.found), lambda spoken: F.split(spoken, " ")))), F.array().cast("array<string>"))
+
 
 def distinct_rules(rules: DataFrame) -> DataFrame:
     """(spoken, written): rules with spoken texts in lower case, of those for one text that with the greatest written one."""
     return rules.groupBy(F.lower("spoken").alias("spoken")).agg(F.max("written").alias("written"))
 
 
+def text_key(value: Column) -> Column:
+    """A number that stands for a text, null for null. Texts that share one have the rules of both, which changes nothing: ``RowRules``
+    compares spoken texts themselves."""
+    return only(value.isNotNull(), F.xxhash64(value))
+
+
 def rules_within(texts: DataFrame, column: str, rules: DataFrame, most: int, few: int = 200_000) -> DataFrame:
-    """(said, found): for each different text of a column in which rules apply, the map of these, for ``RowRules``.
+    """(key, found): for the ``text_key`` of each text of a column in which rules apply, the map of these, for ``RowRules``.
 
     Runs of one to ``most`` words of a text, of the sizes that rules have, are joined with the rules by equality, so the
-    plan does not grow with them. Up to ``few`` rules, counted, are broadcast; more are joined by an exchange."""
-    own = distinct_rules(rules)
-    own = own.where(F.col("spoken") == joined(words(F.col("spoken")))).withColumn("size", F.size(words(F.col("spoken"))))
-    sizes = {r.size: r.n for r in own.where(F.col("size").between(1, most)).groupBy("size").agg(F.count("*").alias("n")).collect()}  # most rows at most
-    said = texts.select(F.col(f"`{column}`").alias("said")).where("said is not null").distinct().withColumn("ws", words(F.lower("said")))
+    plan does not grow with them; no text goes with its runs. Where rules begin with few different words, by a sketch, runs that begin with others
+    are left out before. Up to ``few`` rules, counted, are broadcast; more are joined by an exchange."""
+    own = rules.select(F.lower("spoken").alias("spoken"), "written").where(F.col("spoken") == joined(words(F.col("spoken"))))
+    own = own.withColumns({"size": F.size(words(F.col("spoken"))), "first": F.substring_index("spoken", " ", 1)}).where(F.col("size").between(1, most))
+    known = own.groupBy("size").agg(F.count("*").alias("n"), F.approx_count_distinct("first").alias("firsts")).collect()  # most rows at most
+    said = texts.select(text_key(F.col(f"`{column}`")).alias("key"), words(F.lower(F.col(f"`{column}`"))).alias("ws")).where("key is not null")
 
     def runs(n: int) -> Column:
-        return F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda i: joined(F.slice("ws", i + 1, text(n)))))
-
-    every = F.array_distinct(F.flatten(F.array_compact(F.array(*[runs(n) for n in sorted(sizes)])))) if sizes else F.array().cast("array<string>")
-    pairs = said.select("said", F.explode(every).alias("spoken")).join(F.broadcast(own) if sum(sizes.values()) <= few else own, "spoken")
-    return pairs.groupBy("said").agg(F.map_from_entries(F.collect_list(F.struct("spoken", "written"))).alias("found"))
+        run = lambda i: F.struct(text(n).alias("size"), F.get("ws", i).alias("first"), joined(F.slice("ws", i + 1, text(n))).alias("spoken"))
+        return F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(0), F.size("ws") - n), run))
+
+    none = F.array().cast("array<struct<size: int, first: string, spoken: string>>")
+    every = F.array_distinct(F.flatten(F.array_compact(F.array(*[runs(n) for n in sorted(r.size for r in known)])))) if known else none
+    pairs = said.select("key", F.inline(every))
+    if sum(r.firsts for r in known) <= few:
+        pairs = pairs.join(F.broadcast(own.select("size", "first").distinct()), ["size", "first"], "left_semi")
+    own = distinct_rules(own)
+    pairs = pairs.select("key", "spoken").join(F.broadcast(own) if sum(r.n for r in known) <= few else own, "spoken")
+    return pairs.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("spoken", "written"))).alias("found"))
 
 
 # A log of changes to a set of rules: (seq, op, spoken, written) with a different seq in each row, and op one of

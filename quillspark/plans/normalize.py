@@ -17,7 +17,7 @@ from ..operators.counts import ORDINAL_SCALES, ORDINALS, cardinal, decimal, ordi
 from ..operators.dates import DECADES, MONTHS, date
 from ..operators.measure import NAMED, SPOKEN, measure
 from ..operators.money import money
-from ..operators.rules import RowRules, RuleSet, distinct_rules, rules_within
+from ..operators.rules import RowRules, RuleSet, distinct_rules, rules_within, text_key
 from ..operators.terms import ANYWHERE, PUNCTUATION, WHOLE, punctuation, term, word
 from ..operators.times import PERIODS, ZONES, time
 
@@ -78,10 +78,16 @@ RUN_WORD = f"(?iu)(?<![^ ])({one_of(list(RUN_WORDS))}|(?:thousand|hundred)[^ ]*+
 
 def runs(ws: Column, rules: RuleSet = NO_RULES) -> Column:
     """The words as an array of texts, which together are the sentence and can be written one by one: runs of words
-    that taggers read, and what stands between them; one text if a term, an address or a rule may span anything."""
+    that taggers read, and what stands between them; one text if a term, an address or a rule may span anything. A row's
+    own rules are known by their words, which are read as well."""
     flat = F.lower(F.array_join(ws, " "))
-    whole = flat.rlike(one_of(list(ANYWHERE))) | flat.contains(" dot ") | flat.contains(" colon slash slash ") | rules.within(flat)
-    marked = F.replace(F.regexp_replace(F.array_join(ws, " "), RUN_WORD, "\x01$1\x01"), F.lit("\x01 \x01"), F.lit(" "))
+    whole = flat.rlike(one_of(list(ANYWHERE))) | flat.contains(" dot ") | flat.contains(" colon slash slash ")
+    said = F.array_join(ws, " ")
+    if isinstance(rules, RowRules):
+        said = let(rules.words(), lambda own: F.array_join(F.transform(ws, lambda w: F.when(F.array_contains(own, F.lower(w)), F.concat(F.lit("\x01"), w, F.lit("\x01"))).otherwise(w)), " "))
+    else:
+        whole = whole | rules.within(flat)
+    marked = F.replace(F.regexp_replace(said, RUN_WORD, "\x01$1\x01"), F.lit("\x01 \x01"), F.lit(" "))
     parts = F.split(marked, " ?\x01 ?")
     return F.when(whole, F.array(F.array_join(ws, " "))).otherwise(F.filter(parts, lambda p: p != ""))
 
@@ -168,9 +174,10 @@ def write_sentences_with_rules(df: DataFrame, column: str, rules: DataFrame, out
     """df with ``output``, what ``normalize_sentence`` makes of a column by rules (spoken, written) that are a table of any
     size. As there, rules come before the taggers for a span, and the longest span from the left counts; rules
     of more than max_span words, or with other white space than one blank between words, are never met."""
-    found = rules_within(df, column, rules, max(1, max_span)).withColumnsRenamed({"said": "__said", "found": "__found"})
+    # by the key's hash: with the key itself, which groups are dealt by, Spark would not part a text of many rows
+    found = rules_within(df, column, rules, max(1, max_span)).select(text_key(F.col("key")).alias("__said"), F.col("found").alias("__found"))
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != output.lower()]
-    both = df.join(found, F.col(f"`{column}`") == F.col("__said"), "left")
+    both = df.join(found, text_key(text_key(F.col(f"`{column}`"))) == F.col("__said"), "left")
     return both.select(*kept, normalize_sentence(F.col(f"`{column}`"), max_span, RowRules(F.col("__found"))).alias(output))
 
 

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillspark.api import RuleSet, normalize_by_versions, normalize_sentence, rule_versions, rules_in_force, write_sentences_with_rules
+from quillspark.operators.rules import rules_within
 
 PAIRS = [("Gee Pee", "GP"), ("five", "V"), ("may fifth and", "MF"), (" padded ", "no"), ("two  blanks", "no"), ("blue", "blue"), ("empty", ""), ("doctor", "DOC"), ("İx", "IX"), ("a b c d", "ABCD")]
 WORDS = "gee pee five may fifth and padded two blanks blue empty doctor İx i̇x a b c d twenty dollars hash green period".split()
@@ -34,6 +35,41 @@ def test_rule_table_does_not_grow_the_plan(spark):
     assert abs(sizes[0] - sizes[1]) < 200
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_are_not_shuffled_once_a_run(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"lot {rng.randrange(10**6)} w{rng.randrange(10**9)}" for _ in range(700)) for _ in range(4)]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").repartition(2)
+    said = sorted({" ".join(r) for t in texts for r in zip(t.split()[::3], t.split()[1::3])})
+    rules = spark.createDataFrame([(r, f"#{r}") for r in said[::2]], "spoken string, written string")
+    before, limit = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [dict(r.found) for r in rules_within(df, "s", rules, 16, few=0).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert shuffled(spark) - before < 20 * sum(map(len, texts))
+    want = [{r: f"#{r}" for r in said[::2] if r in {" ".join(p) for p in zip(t.split()[::3], t.split()[1::3])}} for t in texts]
+    assert {frozenset(g.items()) for g in got} == {frozenset(w.items()) for w in want}
+    assert {frozenset(r.found.items()) for r in rules_within(df, "s", rules, 16).collect()} == {frozenset(g.items()) for g in got}
+
+
+def test_own_rules_part_a_sentence_at_their_words(spark):
+    rows = [("we saw Lot 7 twenty five of  lot 8 in may fifth",), ("lot seven dot com lot 7",), ("five lot 7 five",), ("lot",), (" lot\t7 ",), (None,)]
+    df = spark.createDataFrame(rows * 2, "s string")
+    pairs = [("Lot 7", "#7"), ("lot 8", "#8 x"), ("saw", "SAW"), ("of", "OF"), ("7 twenty", "no")]
+    got = write_sentences_with_rules(df, "s", spark.createDataFrame(pairs, "spoken string, written string"), "w")
+    assert not got.where(~F.col("w").eqNullSafe(normalize_sentence("s", rules=RuleSet.of(pairs), by_runs=False))).collect()
+    assert got.count() == 12 and got.where("s like 'five%'").first().w == "5 #7 5"
+
+
 def folded(changes, until=None):
     """The rules after the changes, one by one."""
     rules = RuleSet()
