@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from ..functions.columns import joined, look_up, only, text, trimmed, words
 
@@ -122,13 +123,51 @@ def rules_in_force(log: DataFrame) -> DataFrame:
     return kept.select("spoken", "last.written")
 
 
-def rule_versions(log: DataFrame) -> DataFrame:
+def _slices(df: DataFrame, column: str, most: int = 256) -> tuple[int, Callable[[Column], Column]]:
+    """A number of slices of a column's values, in order and of some equal size, and the slice (from 0) of a value."""
+    ordered = isinstance(df.schema[column].dataType, (NumericType, DateType, TimestampType, TimestampNTZType))
+    found = df.agg(F.percentile_approx(column, [k / most for k in range(1, most)])).first()[0] if ordered else None
+    cuts = sorted(set(found or []))
+
+    def of(value: Column, lower: int, upper: int) -> Column:
+        middle = (lower + upper) // 2
+        return F.lit(lower) if lower == upper else F.when(value < F.lit(cuts[middle]), of(value, lower, middle)).otherwise(of(value, middle + 1, upper))
+
+    return len(cuts) + 1, lambda value: of(value, 0, len(cuts))
+
+
+def _after(values: Column, value: Column) -> Column:
+    """The first of sorted values, fewer than 4096, that is greater, by halving; null if there is none."""
+    steps = F.array(*[F.lit(2**k) for k in range(11, -1, -1)])
+    return F.get(values, F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get(values, i + s - 1) <= value, i + s).otherwise(i)))
+
+
+def rule_versions(log: DataFrame, few: int = 200_000) -> DataFrame:
     """(spoken, written, since, until): each rule that a log adds, in force from its seq until, and not at, the next change of
-    its spoken text or the next clear; until is null if there is none."""
+    its spoken text or the next clear; until is null if there is none.
+
+    Clears may be any number: each rule meets those of its own slice of the log, in order of seq, and of the later slices only the first.
+    Up to ``few``, counted, are broadcast by slice; more are put in order with the rules of a slice. A spoken text's changes are put in
+    order in one task."""
     changes = log.select("seq", "op", F.lower("spoken").alias("spoken"), "written")
-    clears = changes.where("op = 'clear'").agg(F.array_sort(F.collect_list("seq")).alias("clears")).withColumn("all", F.lit(1))  # clears are few
+    clears = changes.where("op = 'clear'").select(F.col("seq").alias("clear"))
+    n_clears = clears.count()
+    n, part = _slices(clears, "clear")
+    near = n_clears <= min(few, 1000 * n)
+    if not near:
+        n, part = _slices(changes, "seq")
     following = F.lead("seq").over(Window.partitionBy("spoken").orderBy("seq"))
-    each = changes.where("op in ('add', 'remove') and spoken is not null").withColumn("next", following).where("op = 'add'").withColumn("all", F.lit(1))
-    each = each.join(F.broadcast(clears), "all", "left")
-    until = F.least("next", F.array_min(F.filter("clears", lambda c: c > F.col("seq"))))
-    return each.select("spoken", "written", F.col("seq").alias("since"), until.alias("until"))
+    own = changes.where("op in ('add', 'remove') and spoken is not null").select("seq", "spoken", (F.col("op") == "add").alias("add"), "written")
+    each = own.withColumn("next", following).where("add").drop("add").withColumn("part", part(F.col("seq")))
+    clears = clears.withColumn("part", part(F.col("clear")))
+    firsts = clears.groupBy("part").agg(F.min("clear").alias("later")).withColumnRenamed("part", "behind")
+    later = log.sparkSession.range(n).select(F.col("id").cast("int").alias("part")).join(F.broadcast(firsts), F.col("behind") > F.col("part"), "left").groupBy("part").agg(F.min("later").alias("later"))
+    if near:
+        inside = clears.groupBy("part").agg(F.array_sort(F.collect_list("clear")).alias("clears"))
+        slices = later.join(inside, "part", "left").select("part", F.array_compact(F.array_append(F.coalesce("clears", F.array()), F.col("later"))).alias("clears"))
+        met = each.join(F.broadcast(slices), "part", "left").withColumn("clear", _after(F.col("clears"), F.col("seq")))
+    else:
+        ahead = Window.partitionBy("part").orderBy(F.desc("seq"), F.asc_nulls_first("clear")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = each.unionByName(clears.withColumn("seq", F.col("clear")), allowMissingColumns=True).withColumn("clear", F.last("clear", ignorenulls=True).over(ahead))
+        met = both.where("spoken is not null").join(F.broadcast(later), "part", "left").withColumn("clear", F.coalesce("clear", "later"))
+    return met.select("spoken", "written", F.col("seq").alias("since"), F.least("next", "clear").alias("until"))

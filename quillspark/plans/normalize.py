@@ -6,7 +6,7 @@ columns and its partition, need no shuffle, and work on streams as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import first, let, one_of, only, text, trimmed, words
@@ -183,13 +183,24 @@ def write_sentences_with_rules(df: DataFrame, column: str, rules: DataFrame, out
 
 def normalize_by_versions(df: DataFrame, column: str, at: str, versions: DataFrame, output: str = "written") -> DataFrame:
     """df, batch or stream, with ``output``, the written form of a column by the rules in force at each row's own
-    time: versions (spoken, written, since, until), as ``rule_versions`` makes them of a log, have one at most."""
-    own = versions.select(*(F.col(c).alias(f"__{c}") for c in ("spoken", "written", "since", "until")))
-    time_of = F.col(f"`{at}`")
-    valid = (time_of >= F.col("__since")) & (F.col("__until").isNull() | (time_of < F.col("__until")))
-    both = df.withColumn("__key", trimmed(F.lower(F.col(f"`{column}`")))).join(own, (F.col("__key") == F.col("__spoken")) & valid, "left")
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != output.lower()]
-    return both.select(*kept, F.coalesce("__written", normalize(F.col(f"`{column}`"))).alias(output))
+    time: versions (spoken, written, since, until), as ``rule_versions`` makes them of a log, have one at most.
+
+    In batches, rows and versions of a spoken text are put in order in one task, so that each row meets the version before it and no
+    other. Rows of a stream are joined with all versions of their text."""
+    own = versions.where("spoken is not null").select(*(F.col(c).alias(f"__{c}") for c in ("spoken", "written", "since", "until")))
+    kept = [c for c in df.columns if c.lower() != output.lower()]
+    key, time_of = trimmed(F.lower(F.col(f"`{column}`"))), F.col(f"`{at}`")
+    if df.isStreaming:
+        valid = (time_of >= F.col("__since")) & (F.col("__until").isNull() | (time_of < F.col("__until")))
+        both = df.withColumn("__key", key).join(own, (F.col("__key") == F.col("__spoken")) & valid, "left")
+        return both.select(*(F.col(f"`{c}`") for c in kept), F.coalesce("__written", normalize(F.col(f"`{column}`"))).alias(output))
+    # rows without a text meet no version, and are dealt by their time
+    rows = df.select(key.alias("key"), time_of.alias("at"), F.lit(1).alias("kind"), F.when(key.isNull(), F.xxhash64(time_of) % 1024).alias("deal"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    rules = own.select(F.col("__spoken").alias("key"), F.col("__since").alias("at"), F.lit(0).alias("kind"), F.struct("__written", "__until").alias("rule"))
+    before = Window.partitionBy("key", "deal").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.unionByName(rules, allowMissingColumns=True).withColumn("rule", F.last("rule", ignorenulls=True).over(before)).where("kind = 1")
+    valid = F.col("rule.__until").isNull() | (F.col("at") < F.col("rule.__until"))
+    return met.select(*(F.col("row")[c].alias(c) for c in kept), F.coalesce(only(valid, F.col("rule.__written")), normalize(F.col("row")[column])).alias(output))
 
 
 __all__ = ["RowRules", "RuleSet", "may_change", "normalize", "normalize_by_versions", "normalize_sentence", "normalize_with_lang", "normalize_with_rules", "spread", "tag_span", "text", "write_sentences", "write_sentences_with_rules"]

@@ -1,6 +1,8 @@
 """Rules as tables: in sentences, as a log of changes, as versions in time, and under a stream."""
 
+import datetime
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -106,6 +108,39 @@ def test_log_of_changes(spark):
     assert rules_in_force(empty).isEmpty() and rule_versions(empty).isEmpty()
 
 
+def test_clears_by_slices_and_in_order_give_the_same(spark):
+    changes = made(300, 6, 60)
+    log = spark.createDataFrame(changes, LOG).repartition(3)
+    got = [sorted(map(tuple, rule_versions(log, few).collect())) for few in (200_000, 0)]
+    assert got[0] == got[1]
+    for at in range(-1, 301, 7):
+        assert {spoken: written for spoken, written, since, until in got[1] if since <= at and (until is None or at < until)} == folded(changes, at)
+    moment = lambda i: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=i)
+    want = [(a, b, moment(c), d if d is None else moment(d)) for a, b, c, d in got[0]]
+    times = spark.createDataFrame([(moment(i), *x) for i, *x in changes], LOG.replace("long", "timestamp_ntz"))
+    names = spark.createDataFrame([(f"{i:04}", *x) for i, *x in changes], LOG.replace("long", "string"))
+    assert sorted(map(str, map(tuple, rule_versions(times).collect()))) == sorted(map(str, want))
+    assert sorted(map(str, map(tuple, rule_versions(names).collect()))) == sorted(str((a, b, f"{c:04}", d if d is None else f"{d:04}")) for a, b, c, d in got[0])
+
+
+def test_time_does_not_grow_with_the_square_of_clears(spark):
+    n, key = 200_000, F.col("id")
+    log = spark.range(n).select(key.alias("seq"), F.when(key % 2 == 1, "clear").otherwise("add").alias("op"), F.when(key % 2 == 0, F.concat(F.lit("u"), key % 1000)).alias("spoken"), F.lit("w").alias("written"))
+    began = time.time()
+    assert tuple(rule_versions(log).agg(F.count("*"), F.count_if(F.col("until") == F.col("since") + 1)).first()) == (n / 2, n / 2)
+    assert time.time() - began < 40  # 7 s when written
+
+
+def test_versions_met_in_batches(spark):
+    versions = spark.createDataFrame([("a", "A1", 2, 5), ("a", "A2", 7, None), ("b", "B", 3, 4), (None, "no", 0, None)], "spoken string, written string, since long, until long")
+    rows = [(at, s, "x") for at in (None, 1, 2, 4, 5, 6, 7, 9) for s in ("a", " A ", "b", "five", None)] * 2
+    df = spark.createDataFrame(rows, "at int, s string, Written string")
+    got = normalize_by_versions(df, "s", "at", versions)
+    in_force = lambda at, s: next((w for k, w, a, b in (("a", "A1", 2, 5), ("a", "A2", 7, 99), ("b", "B", 3, 4)) if at is not None and k == s and a <= at < b), None)
+    want = [(at, s, s and (in_force(at, s.strip().lower()) or ("5" if s == "five" else s.strip()))) for at, s, _ in rows]
+    assert got.columns == ["at", "s", "written"] and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_rules_that_change_under_a_stream(spark, tmp_path):
     """Rows are written by the rules of their own time, in two runs with a change between, or in one."""
     early, late = made(30, 4, 1), [(i + 30, *x) for i, *x in made(30, 5, 1)]
